@@ -38,7 +38,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *extra)
     base = base.withColumns({"n": F.octet_length("t").cast("long"), "digit": _digit(0, first)})
     many = base.groupBy("n", "digit").agg(F.count("*").alias("c")).where("c > 1").select("n", "digit", F.lit(True).alias("open"))
-    rows = base.join(stage(many, "radix-first"), ["n", "digit"], "left")
+    rows = base.join(stage(many, "radix-first").hint("merge"), ["n", "digit"], "left")
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n", F.coalesce("open", F.lit(False)).alias("open"),
         F.sha2("t", 256).alias("text_sha256"), F.when(F.col("open"), F.col("t")).alias("t"), *names,
@@ -51,7 +51,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         end = at + width
         groups = level.groupBy("node", "digit").agg(F.count("*").alias("c"), F.min("row").alias("child"), F.max("doc_id").alias("keep_id")).where("c > 1")
-        split = level.join(stage(groups, "radix-groups"), ["node", "digit"], "inner").select("row", "doc_id", "n", F.col("child").alias("node"), "c", "keep_id")
+        split = level.join(stage(groups, "radix-groups").hint("merge"), ["node", "digit"], "inner").select("row", "doc_id", "n", F.col("child").alias("node"), "c", "keep_id")
         split = stage(split, "radix-level")
         done.append(split.where(F.col("n") <= end))
         rest = split.where(F.col("n") > end)
@@ -59,12 +59,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         at, width = end, width * factor
         text = live.where(F.col("n") > end).select("row", _digit(at, width).alias("digit"))
-        level = rest.select("row", "doc_id", "n", "node").join(text, "row")
+        level = rest.select("row", "doc_id", "n", "node").join(text.hint("merge"), "row")
     ended = reduce(DataFrame.unionByName, done)
     first_row = ended.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("node").agg(F.min("row").alias("keep_row"))
     ended = ended.join(stage(first_row, "radix-kept"), "node").select("row", "keep_id", F.col("c").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"))
     alone = F.col("group_size").isNull()
-    return rows.drop("t").join(ended, "row", "left").select(
+    return rows.drop("t").join(ended.hint("merge"), "row", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce("kept", F.lit(True)).alias("kept"), "text_sha256", *names,
     )
