@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, radix_dedup, sharding
+from . import mixing, packing, radix_dedup, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.convert_pages(_table(spark, sf_dir, "pages"))
+    return records.selectExpr("key AS page_id", "bytes AS payload_bytes", "digest AS payload_digest", "type AS record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +42,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_best_fit": op2_best_fit,
         "op5_shards": op5_shards,
+        "op7_warc": op7_warc,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
@@ -65,5 +82,16 @@ FROM t
 """
 
 
+_OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1_SQL, "op9_exact_dedup": _OP9_SQL}
+    return {"op1_mix_sources": _OP1_SQL, "op7_warc": _OP7_SQL, "op9_exact_dedup": _OP9_SQL}
