@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, radix_dedup, secrets, sharding, warc
+from . import chat, jaccard_join, mixing, packing, quality, radix_dedup, rp_forest, secrets, sharding, warc
 from .common import stage
 
 
@@ -18,14 +18,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +68,30 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.selectExpr("key AS page_id", "bytes AS payload_bytes", "digest AS payload_digest", "type AS record_type", "refers_to")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_best_fit": op2_best_fit,
+        "op3_quality": op3_quality,
         "op4_secrets": op4_secrets,
         "op5_shards": op5_shards,
         "op6_chat": op6_chat,
         "op7_warc": op7_warc,
+        "op8_jaccard": op8_jaccard,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_forest": op10_forest,
     }
 
 
