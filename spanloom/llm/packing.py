@@ -9,8 +9,11 @@ on at this offset"); pieces find their place by their rank among equal lengths.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,31 +27,70 @@ CAPACITY, END_ID = 4096, 1
 #: Rows that a rank bucket holds on average at most.
 BUCKET_ROWS, LEAST_BUCKETS = 500_000, 64
 #: Words that a worker remembers, and bytes of text it encodes at once.
-CACHE_WORDS, CHUNK_BYTES = 300_000, 1 << 20
+CACHE_WORDS, CHUNK_BYTES = 600_000, 1 << 20
+#: Runs of letters (of ASCII or beyond), and of what is neither a letter nor a blank.
+PIECE = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0D]+").findall
+DIGIT = re.compile(rb"[0-9]").search
+#: An apostrophe with letters, or what may be a special token.
+SUFFIX = re.compile(rb"'[A-Za-z]|<\|").search
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _plain(text: bytes) -> bool:
+    """Whether a text falls into the pieces of ``PIECE`` under the vocabulary's own rules.
+
+    Those part runs of letters from everything else, but for an apostrophe with
+    some letters; and signs beyond ASCII may join signs of it.
+    """
+    if SUFFIX(text):
+        return False
+    return text.isascii() or all(c.isalpha() and c.lower().isalpha() for c in set(text.decode()) if c > "\x7f")
+
+
+@lru_cache(maxsize=2)
 def _encoder(path: str):
-    """Texts to little-endian ids; words repeat, so each is encoded once and then looked up.
+    """Texts to little-endian ids; runs of letters repeat, so a worker encodes each once and then looks it up.
 
-    The vocabulary's rules drop white space and never look across it, so a text's
-    ids are those of its words in turn.
+    The vocabulary's rules drop white space, never look across it, lower-case, and
+    treat runs of letters and what lies between them each by itself, in all but
+    few texts; those are encoded whole.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
+    known: dict[bytes, bytes] = {}
+
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def code(texts: list[str]) -> list[bytes]:
+        coded = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, "<u4").tobytes() for ids in coded]
+
+    def learn(pieces: list[bytes]) -> None:
+        """Pieces without digits are a word each, with one id that ends it, and are encoded together."""
+        one = [p for p in pieces if not DIGIT(p)]
+        for i in range(0, len(one), 4000):
+            own = one[i : i + 4000]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, "<u4")
+            at = np.nonzero(ends[ids])[0] + 1
+            if len(at) != len(own):
+                known.update(zip(own, code([w.decode() for w in own])))
+                continue
+            flat, stops = ids.tobytes(), (4 * at).tolist()
+            known.update(zip(own, map(flat.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+        rest = [p for p in pieces if DIGIT(p)]
+        known.update(zip(rest, code([w.decode() for w in rest])))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(cache))
-        for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        split = [PIECE(t.lower()) if _plain(t) else None for t in texts]
+        learn(list(set(chain.from_iterable(p for p in split if p)) - known.keys()))
+        whole = iter(code([t.decode() for t, p in zip(texts, split) if p is None]))
+        get = known.__getitem__
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in split]
 
     return encode
 
