@@ -9,6 +9,7 @@ on at this offset"); pieces find their place by their rank among equal lengths.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,10 +34,11 @@ CACHE_WORDS, CHUNK_BYTES = 600_000, 1 << 20
 #: Runs of letters (of ASCII or beyond), and of what is neither a letter nor a blank.
 PIECE = re.compile(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0D]+").findall
 DIGIT = re.compile(rb"[0-9]").search
-#: An apostrophe with letters, or what may be a special token.
-SUFFIX = re.compile(rb"'[A-Za-z]|<\|").search
+SUFFIX = re.compile(rb"'[A-Za-z]").search
+ASCII = bytes(range(128))
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def _plain(text: bytes) -> bool:
@@ -43,9 +47,9 @@ def _plain(text: bytes) -> bool:
     Those part runs of letters from everything else, but for an apostrophe with
     some letters; and signs beyond ASCII may join signs of it.
     """
-    if SUFFIX(text):
+    if b"<|" in text or b"'" in text and SUFFIX(text):  # what may be a special token, or an apostrophe with letters
         return False
-    return text.isascii() or all(c.isalpha() and c.lower().isalpha() for c in set(text.decode()) if c > "\x7f")
+    return all(c.isalpha() and c.lower().isalpha() for c in set(text.translate(None, ASCII).decode()))
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +91,7 @@ def _encoder(path: str):
         if len(known) > CACHE_WORDS:
             known.clear()
         split = [PIECE(t.lower()) if _plain(t) else None for t in texts]
-        learn(list(set(chain.from_iterable(p for p in split if p)) - known.keys()))
+        learn(list(set(chain.from_iterable(p for p in split if p)).difference(known)))
         whole = iter(code([t.decode() for t, p in zip(texts, split) if p is None]))
         get = known.__getitem__
         return [next(whole) if p is None else b"".join(map(get, p)) for p in split]
@@ -98,28 +102,28 @@ def _encoder(path: str):
 def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each document's ids with ``end_id`` added; only longer ones are cut."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = _encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            texts, ids, lo = [(t or "").encode() for t in batch["t"]], batch["doc_id"].tolist(), 0
-            while lo < len(texts):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.binary_length(texts).to_pylist()
+            lo = 0
+            while lo < len(ids):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK_BYTES):
-                    size, hi = size + len(texts[hi]), hi + 1
+                while hi < len(ids) and (hi == lo or size + sizes[hi] <= CHUNK_BYTES):
+                    size, hi = size + sizes[hi], hi + 1
                 out = []
-                for doc, coded in zip(ids[lo:hi], encode(texts[lo:hi])):
+                for doc, coded in zip(ids[lo:hi], encode(texts.slice(lo, hi - lo).to_pylist())):
                     coded += end
                     for p, at in enumerate(range(0, len(coded), 4 * capacity)):
                         part = coded[at : at + 4 * capacity]
                         out.append((doc, p, at // 4, len(part) // 4, zlib.crc32(part)))
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield frame.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), ARROW.types)], schema=ARROW)
                 lo = hi
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(cut, PIECES)
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
