@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from spanloom.plans import ambiguity, distributions, relations, texts  # noqa: F401  (they register)
+from spanloom.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "label_imbalance_source"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
