@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,26 +67,58 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's edges as stars of its own components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    out = [(x, r) for x in root if (r := find(x)) != x]
+    for i in range(0, len(out), 100_000):
+        yield pd.DataFrame(out[i : i + 100_000], columns=["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is its smallest node.
 
-    Alternating large-star and small-star steps; each round is written to the
-    shared folder. Self-links and nulls are ignored. Nothing is collected but a
-    count and a checksum per round.
+    Each partition first reduces its edges to stars. Then, in rounds, every node
+    hooks to its smallest neighbour, hooks are followed to their ends, and the
+    edges are drawn anew between those, until none is left. Rounds are written to
+    the shared folder; only counts reach the driver. Self-links and nulls are
+    ignored. A node of many edges is aggregated where they lie, and its joins can
+    be split.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, seen = stage(pairs, "links"), None
-    while True:
+    pairs = stage(edges.where("a <> b").select("a", "b").mapInPandas(_forest, "u long, v long").distinct(), "links")
+    found = None
+    while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(stage(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, "large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        hook = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to"))
+        hook = stage(hook, "hooks")
+        while True:
+            ahead = hook.select(F.col("node").alias("to"), F.col("to").alias("end"))
+            hook = stage(hook.join(ahead, "to").select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "hooks")
+            if not hook.where("moved").limit(1).count():
+                break
+            hook = hook.select("node", "to")
+        hook = hook.select("node", "to")
+        a, b = hook.select(F.col("node").alias("u"), F.col("to").alias("x")), hook.select(F.col("node").alias("v"), F.col("to").alias("y"))
+        drawn = pairs.join(a, "u").join(b, "v").where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+        if found is None:
+            found = hook.select("node", F.col("to").alias("component"))
+        else:
+            found = found.join(hook.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        pairs = stage(drawn.distinct(), "links")
+    if found is None:
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stage(found, "components")
