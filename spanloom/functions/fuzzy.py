@@ -8,17 +8,20 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Places on each side of a normalised hit where the span may begin in the original.
 CORRIDOR = 40
 
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
 
 def ratio(a: str | None, b: str | None) -> float:
     """Matching-blocks ratio of the lower-cased texts; the order of arguments matters."""
     return SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
@@ -54,7 +57,7 @@ def locate(span: str | None, text: str | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@F.pandas_udf(SPAN)
 def locate_udf(span: pd.Series, text: pd.Series) -> pd.DataFrame:
     found = [locate(s, t) or (None, None) for s, t in zip(span, text)]
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")

@@ -89,24 +89,26 @@ def label_prior(edges: DataFrame) -> DataFrame:
 def candidates(phrases: DataFrame, keys: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
     """phrase_id, norm, type, similarity: an exact key first, then keys of the type whose trigrams and words overlap enough.
 
-    Phrases meet keys on shared trigrams among the rarest ones that a similarity
-    of 0.85 can't avoid, never all with all.
+    Both gates are overlaps of sets, so phrases meet keys on their rarest words,
+    one of which any pair that passes the second gate shares; lengths and that
+    gate prune before trigrams are compared.
     """
     ask = phrases.select("phrase_id", "type", normalize_phrase(F.col("text")).alias("q"))
     have = keys.select(F.col("norm"), "type")
     exact = ask.join(have, (F.col("q") == F.col("norm")) & (ask["type"] == have["type"])).select("phrase_id", "norm", ask["type"], F.lit(1.0).alias("similarity"), F.lit(1).alias("exact"))
-    distinct = ask.select("q", "type").distinct().withColumn("grams", char_ngrams(F.col("q"), NGRAM))
-    index = have.withColumn("grams", char_ngrams(F.col("norm"), NGRAM))
-    df = index.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    asked = ask.select("q", "type").distinct().withColumn("words", blank_words(F.col("q")))
+    index = have.withColumn("words", blank_words(F.col("norm")))
+    df = index.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
 
     def rare(rows: DataFrame, name: str) -> DataFrame:
-        flat = rows.select(name, "type", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(df, "g", "left")
-        flat = flat.withColumn("place", F.row_number().over(W.partitionBy(name, "type").orderBy(F.coalesce("df", F.lit(0)), "g")))
-        return flat.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(LEAST_JACCARD)) + 1).select(name, "type", "g")
-
-    met = rare(distinct, "q").join(rare(index, "norm"), ["type", "g"]).where("q <> norm").select("q", "norm", "type").distinct()
-    near = met.withColumn("similarity", jaccard(char_ngrams(F.col("q"), NGRAM), char_ngrams(F.col("norm"), NGRAM))).where(F.col("similarity") >= LEAST_JACCARD)
-    near = near.where(jaccard(blank_words(F.col("q")), blank_words(F.col("norm"))) >= LEAST_TOKENS)
+        flat = rows.select(name, "type", F.size("words").alias(f"n_{name}"), F.explode("words").alias("w")).join(df, "w", "left")
+        flat = flat.withColumn("place", F.row_number().over(W.partitionBy(name, "type").orderBy(F.coalesce("df", F.lit(0)), "w")))
+        return flat.where(F.col("place") <= F.col(f"n_{name}") - F.ceil(F.col(f"n_{name}") * F.lit(LEAST_TOKENS)) + 1).select(name, "type", f"n_{name}", "w")
+
+    met = rare(asked, "q").join(rare(index, "norm"), ["type", "w"]).where("q <> norm")
+    met = met.where(F.least("n_q", "n_norm") >= F.lit(LEAST_TOKENS) * F.greatest("n_q", "n_norm")).select("q", "norm", "type").distinct()
+    near = met.where(jaccard(blank_words(F.col("q")), blank_words(F.col("norm"))) >= LEAST_TOKENS)
+    near = near.withColumn("similarity", jaccard(char_ngrams(F.col("q"), NGRAM), char_ngrams(F.col("norm"), NGRAM))).where(F.col("similarity") >= LEAST_JACCARD)
     near = ask.join(near, ["q", "type"]).select("phrase_id", "norm", "type", "similarity", F.lit(0).alias("exact"))
     w = W.partitionBy("phrase_id").orderBy(F.desc("similarity"), F.desc("exact"), "norm")
     return exact.unionByName(near).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place", "exact")

@@ -57,7 +57,7 @@ def capped_sample(units: DataFrame, per_label: int, order: str = "id") -> DataFr
         return pd.DataFrame(out, columns=["id", "label", "round"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.groupBy(F.lit(0)).applyInPandas(lambda pdf: pick(pdf), f"id {kind}, label string, round int")
+    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(pick, f"id {kind}, label string, round int")
 
 
 def shuffle_split(rows: DataFrame, shares: Sequence[tuple[str, float]], id_col: str = "id", seed: int = 42, buckets: int = 256) -> DataFrame:

@@ -86,13 +86,15 @@ def merged(parts: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def graph_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, errors) of one graph a file, with edges under ``edges`` or ``links`` and ends under either naming."""
+    """(nodes, edges, errors) of one graph a file, named by the file or its ``graph_id`` folder, with edges under ``edges`` or ``links`` and ends under either naming."""
     node = "struct<id:string,label:string,pos:string,type:string>"
     edge = "struct<source:string,target:string,`from`:string,`to`:string,label:string,dep:string,weight:double>"
     schema = f"nodes array<{node}>, edges array<{edge}>, links array<{edge}>, label string, center_id string, _bad string"
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path, multiLine=True)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
-    rows = rows.withColumn("graph_id", F.url_decode(name))
+    place = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(place, "/graph_id=([^/]+)/", 1), F.lit(""))
+    name = F.regexp_replace(F.element_at(F.split(place, "/"), -1), r"\.json$", "")
+    rows = rows.withColumn("graph_id", F.url_decode(F.coalesce(folder, name)))
     good = rows.where("_bad IS NULL AND nodes IS NOT NULL")
     nodes = good.select("graph_id", F.posexplode("nodes").alias("p", "n")).select("graph_id", F.coalesce("n.id", F.concat(F.lit("node_"), F.col("p"))).alias("id"), "n.label", "n.pos", "n.type")
     e = good.select("graph_id", F.explode(F.coalesce("edges", "links")).alias("e"))
