@@ -257,3 +257,23 @@ def one_hot_pos(nodes: DataFrame, pos: str = "pos") -> DataFrame:
     """Nodes with a vector that marks their tag among all tags found, by name; tag sets are small."""
     tags = [r[0] for r in nodes.select(pos).where(F.col(pos).isNotNull()).distinct().orderBy(pos).collect()]
     return nodes.withColumn("features", F.array(*[(F.coalesce(F.col(pos), F.lit("")) == t).cast("double") for t in tags]))
+
+
+def dependency_graphs(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed sentences (graph_id, i, text, pos, dep, head): an edge from each head to its dependent, none for roots."""
+    nodes = tokens.select("graph_id", F.col("i").cast("string").alias("id"), F.col("text").alias("label"), "pos")
+    edges = tokens.where("head IS NOT NULL AND head <> i").select("graph_id", F.col("head").cast("string").alias("source"), F.col("i").cast("string").alias("target"), F.col("dep").alias("label"))
+    return nodes, edges
+
+
+def propagated(nodes: DataFrame, edges: DataFrame, dim: int, rounds: int = 2) -> DataFrame:
+    """Node features (graph_id, id, features) after rounds of weighted means over each node and its in-neighbours: the linear part of a graph network."""
+    both = edges.select("graph_id", "source", "target", F.coalesce(F.col("weight"), F.lit(1.0)).alias("weight") if "weight" in edges.columns else F.lit(1.0).alias("weight"))
+    own = nodes.select("graph_id", F.col("id").alias("source"), F.col("id").alias("target"), F.lit(1.0).alias("weight"))
+    links = both.unionByName(own)
+    x = nodes.select("graph_id", "id", "features")
+    for _ in range(rounds):
+        joined = links.join(x.withColumnRenamed("id", "source"), ["graph_id", "source"])
+        sums = joined.groupBy("graph_id", F.col("target").alias("id")).agg(F.sum("weight").alias("w"), *[F.sum(F.col("weight") * F.get("features", i)).alias(f"s{i}") for i in range(dim)])
+        x = sums.select("graph_id", "id", F.array(*[F.col(f"s{i}") / F.col("w") for i in range(dim)]).alias("features"))
+    return x
