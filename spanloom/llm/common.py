@@ -32,8 +32,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def clean() -> None:
+    """Delete all that was staged so far; call it when no result that rests on it is needed any more."""
+    while _written:
+        spark, path = _written.pop()
         try:
             if spark.sparkContext._jsc is not None:
                 drop_path(spark, path)
@@ -41,7 +43,7 @@ def _clean() -> None:
             return
 
 
-atexit.register(_clean)
+atexit.register(clean)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
