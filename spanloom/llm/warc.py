@@ -31,7 +31,7 @@ ARC_FIELDS = {
 KEY_HEADER = "X-Record-Key"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORDS = "key long, uri string, ip string, date string, head string, payload binary, bytes long, digest string, info boolean"
+RECORDS = "key long, uri string, ip string, date string, mime string, head string, payload binary, bytes long, digest string, info boolean"
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "20260101000000", archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -84,8 +84,8 @@ def _unzip(data: bytes) -> bytes:
     return b"".join(out) or data
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bool, bytes]]:
-    """(url, ip, date, is version block, content) of each record.
+def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, str, bool, bytes]]:
+    """(url, ip, date, content type, is version block, content) of each record.
 
     The version block says how many fields header lines have from there on. A
     last record shorter than declared is passed on as far as it goes; a line that
@@ -108,22 +108,26 @@ def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, bool, bytes]]:
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version!r} is not known")
             fields = len(ARC_FIELDS[version].split(" "))
-        yield parts[0], parts[1], parts[2], info, content
+        yield parts[0], parts[1], parts[2], parts[3], info, content
         at = end + 1 + int(parts[-1]) + 1
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of the ARC files under ``path``, with digest and size of the full payload."""
+    """Records of the ARC files under ``path``, with digest and size of the full payload.
+
+    The payload of an HTTP exchange is what follows its head; of other records,
+    which have no head, it is all.
+    """
 
     def read(batches):
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for uri, ip, date, info, block in parse_arc(_unzip(content)):
-                    head, gap, payload = (b"", b"", block) if info else block.partition(b"\r\n\r\n")
+                for uri, ip, date, mime, info, block in parse_arc(_unzip(content)):
+                    head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
                     key = next((h.split(b":", 1)[1].strip() for h in head.split(b"\r\n") if h.startswith(KEY_HEADER.encode() + b":")), b"")
-                    rows.append((int(key) if key else None, uri, ip, date, head.decode("utf-8", "replace"), payload if payloads else None, len(payload), hashlib.sha1(payload).hexdigest(), info))
-                frame = pd.DataFrame(rows, columns=["key", "uri", "ip", "date", "head", "payload", "bytes", "digest", "info"])
+                    rows.append((int(key) if key else None, uri, ip, date, mime, head.decode("utf-8", "replace"), payload if payloads else None, len(payload), hashlib.sha1(payload).hexdigest(), info))
+                frame = pd.DataFrame(rows, columns=["key", "uri", "ip", "date", "mime", "head", "payload", "bytes", "digest", "info"])
                 yield frame.astype({"key": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, RECORDS)
@@ -143,9 +147,10 @@ def _warc_record(r, rep) -> str:
     if r.info:
         kind, block, lines = "warcinfo", payload, ["Content-Type: text/plain"]
     else:
-        kind = "response" if rep is None else "revisit"
-        block = r.head + "\r\n\r\n" + (payload if rep is None else "")
-        lines = [f"WARC-Target-URI: {r.uri}", f"WARC-IP-Address: {r.ip}", f"WARC-Payload-Digest: {b32(r.digest)}", "Content-Type: application/http; msgtype=response"]
+        kind = "revisit" if rep is not None else "response" if r.head else "resource"
+        block = (r.head + "\r\n\r\n" if r.head else "") + (payload if rep is None else "")
+        mime = "application/http; msgtype=response" if r.head else r.mime
+        lines = [f"WARC-Target-URI: {r.uri}", f"WARC-IP-Address: {r.ip}", f"WARC-Payload-Digest: {b32(r.digest)}", f"Content-Type: {mime}"]
         if rep is not None:
             lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(rep, r.digest)}"]
     data = block.encode()
@@ -160,10 +165,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, archive_bytes: i
     Of equal payloads of at least ``revisit_bytes`` the record with the largest
     key is a response and the others revisit it (rows tied on that key are all
     responses, a null key is smaller than any); smaller payloads are all
-    responses. Only repeated payloads' digests meet the records again, in a join
+    responses. Records without an HTTP head become resources, version blocks
+    warcinfo. Only repeated payloads' digests meet the records again, in a join
     that is broadcast when they are measured small and can be split when not.
     """
-    small = read_arc(spark, arc_path, payloads=False).where(~F.col("info") & (F.col("bytes") >= revisit_bytes))
+    small = read_arc(spark, arc_path, payloads=False).where(~F.col("info") & (F.col("head") != "") & (F.col("bytes") >= revisit_bytes))
     again = small.groupBy("digest", "bytes").agg(F.count("*").alias("c"), F.max("key").alias("rep")).where("c > 1")
     mean = read_arc(spark, arc_path, payloads=False).agg(F.avg("bytes")).first()[0]
     again = stage(again.select("digest", "bytes", "rep"), "warc-again")
@@ -173,7 +179,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, archive_bytes: i
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                rep = None if pd.isna(r.rep) or r.info or r.key == r.rep else int(r.rep)
+                rep = None if pd.isna(r.rep) or r.info or not r.head or r.key == r.rep else int(r.rep)
                 out.append(_warc_record(r, rep))
             yield pd.DataFrame({"value": out})
 
@@ -200,7 +206,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each response or revisit: its key, target, date, type, what it refers to, and size and digest of the full payload.
+    """A row for each response, resource or revisit: its key, target, date, type, what it refers to, and size and digest of the full payload.
 
     A response's size and digest are those of the payload found; a digest other
     than the header's raises ValueError. A revisit's are its headers'.
@@ -211,12 +217,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch["content"]:
                 rows = []
                 for headers, block in parse_warc(_unzip(content)):
-                    if headers["WARC-Type"] not in ("response", "revisit"):
+                    if headers["WARC-Type"] not in ("response", "resource", "revisit"):
                         continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
+                    head, _, payload = (b"", b"", block) if headers["WARC-Type"] == "resource" else block.partition(b"\r\n\r\n")
                     http = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
                     named = base64.b32decode(headers["WARC-Payload-Digest"].split(":")[1]).hex()
-                    response = headers["WARC-Type"] == "response"
+                    response = headers["WARC-Type"] != "revisit"
                     if response and hashlib.sha1(payload).hexdigest() != named:
                         raise ValueError(f"payload digest of {headers['WARC-Record-ID']} does not hold")
                     key, refers = (headers.get(x, "::").split(":")[2] for x in ("WARC-Record-ID", "WARC-Refers-To"))
