@@ -173,13 +173,28 @@ def test_arc_versions_and_lengths():
     data += b"filedesc://b 0.0.0.0 20200101000000 text/plain 200 - - 0 b %d\n%s\n" % (len(two), two)
     data += b"http://b 1.2.3.4 20200102030405 text/html 200 - - 0 b 0\n\n"
     found = list(warc.parse_arc(data))
-    assert [(u, i, c) for u, _, _, i, c in found if not i] == [("http://a", False, b"ab\n\ncd\r\n\n"), ("http://b", False, b"")]
+    assert [(u, i, c) for u, _, _, _, i, c in found if not i] == [("http://a", False, b"ab\n\ncd\r\n\n"), ("http://b", False, b"")]
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://a no length\n"))
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"filedesc://a 0 2020 text/plain 2\n9 \n"))
 
 
+def test_records_of_other_kinds(spark, tmp_path):
+    block = b"2 0 x\n" + warc.ARC_FIELDS["2"].encode() + b"\n"
+    body = b"<p>hello</p>" * 100
+    page = b"HTTP/1.1 200 OK\r\nX-Record-Key: 5\r\nContent-Length: %d\r\n\r\n%s" % (len(body), body)
+    data = b"filedesc://b 0.0.0.0 20200101000000 text/plain 200 - - 0 b %d\n%s\n" % (len(block), block)
+    data += b"dns:example.org 1.2.3.4 20200102030405 text/dns 200 - - 0 b %d\n%s\n" % (len(body), body)
+    data += b"http://b 1.2.3.4 20200102030405 text/html 200 - - 0 b %d\n%s\n" % (len(page), page)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.arc").write_bytes(data)
+    warc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rows = {r["uri"]: r for r in warc.read_warc(spark, str(tmp_path / "out")).collect()}
+    assert rows["dns:example.org"]["type"] == "resource" and rows["dns:example.org"]["bytes"] == len(body)
+    assert rows["http://b"]["type"] == "response" and rows["http://b"]["key"] == 5 and rows["http://b"]["date"] == "2020-01-02T03:04:05Z"
+
+
 def test_pages_make_the_trip(spark):
     big = "<p>ü\r\n\r\nWARC/1.1\r\n</p>" * 80
     rows = [(1, "http://a b", big), (2, None, big), (9, "http://c", big), (3, "http://d", ""), (4, "", None), (5, "http://e", "small"), (6, "http://f", "small"), (None, "http://g", "none"), (7, "x", "r"), (7, "x", "r")]
