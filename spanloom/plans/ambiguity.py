@@ -166,3 +166,16 @@ def method_counts(spark, d):
 @query("largest_rates", "SELECT CAST(s_nationkey AS VARCHAR) AS label, max(s_acctbal) AS max_rate FROM supplier GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
 def largest_rates(spark, d):
     return N.largest_rates(table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("label"), F.col("s_acctbal").alias("disagreement_rate")))
+
+
+@query("mlp_predictions")
+def mlp_predictions(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    model, names = M.mlp(e, [16])
+    return M.predict(model, names, e).select("id", "true_label", "pred_label")
+
+
+@query("jaccard_neighbours", f"WITH x AS ({_LINES}), p AS (SELECT a.id AS i, b.id AS j, len(list_intersect(a.words, b.words)) AS n, len(a.words) + len(b.words) AS m FROM x a JOIN x b ON a.id <> b.id), s AS (SELECT i, j, n / (m - n) AS similarity FROM p WHERE n / (m - n) >= 0.1) SELECT i, j, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY i ORDER BY similarity DESC, j) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
+def jaccard_neighbours(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), blank_words(F.col("text")).alias("words"))
+    return rounded(N.rank_neighbours(N.similar_sets(items, 0.1), K))

@@ -183,3 +183,19 @@ def meaning_nodes(spark, d):
 @query("meaning_edges", "SELECT 'g' || c_custkey AS graph_id, 'x' AS source, 'Num:' || c_nationkey AS target, 'quant' AS label FROM customer")
 def meaning_edges(spark, d):
     return _triples(spark, d)[1]
+
+
+@query("dependency_graphs", "SELECT l_orderkey AS graph_id, '1' AS source, CAST(l_linenumber AS VARCHAR) AS target, l_returnflag AS label FROM lineitem WHERE l_linenumber > 1")
+def dependency_graphs(spark, d):
+    """Line items as tokens whose head is their order's first."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph_id"), F.col("l_linenumber").alias("i"), F.lit("w").alias("text"), F.col("l_linestatus").alias("pos"), F.col("l_returnflag").alias("dep"), F.lit(1).alias("head"))
+    return G.dependency_graphs(rows)[1]
+
+
+@query("propagated_features", f"""
+WITH {_GRAPH}, x AS (SELECT graph_id, id, CAST(ascii(label) AS DOUBLE) AS f FROM n), l AS (SELECT graph_id, source, target FROM e UNION ALL SELECT graph_id, id, id FROM n)
+SELECT l.graph_id, l.target AS id, [round(avg(f), 6)] AS features FROM l JOIN x ON x.graph_id = l.graph_id AND x.id = l.source GROUP BY 1, 2""")
+def propagated_features(spark, d):
+    nodes, edges = _graph(spark, d)
+    out = G.propagated(nodes.select("graph_id", "id", F.array(F.ascii("label").cast("double")).alias("features")), edges, 1, 1)
+    return out.select("graph_id", "id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))

@@ -160,3 +160,11 @@ def mini_chunks(spark, d):
 @query("first_filled", "SELECT page_id, coalesce(nullif(trim(CASE WHEN page_id % 3 = 0 THEN '  ' ELSE url END), ''), nullif(trim(html), '')) AS value FROM pages")
 def first_filled(spark, d):
     return table(spark, d, "pages").select("page_id", X.first_filled(F.expr("CASE WHEN page_id % 3 = 0 THEN '  ' ELSE url END"), F.col("html")).alias("value"))
+
+
+@query("embedded_json", "SELECT event_id, props AS found FROM events WHERE props IS NOT NULL")
+def embedded_json(spark, d):
+    from spanloom.functions.records import balanced_json_udf
+
+    events = table(spark, d, "events").where("props IS NOT NULL")
+    return events.select("event_id", balanced_json_udf(F.concat(F.lit("so } here [it is: "), "props", F.lit(" and {more"))).alias("found"))

@@ -333,3 +333,15 @@ def test_sinks(spark, tmp_path):
     assert writers.append_missing(df.limit(2), path, "id") == 2
     assert writers.append_missing(df, path, "id") == 3
     assert writers.append_missing(df, path, "id") == 0
+
+
+def test_json_in_free_text():
+    from spanloom.functions.records import balanced_json, load
+
+    assert balanced_json('text {"a": "}", "b": [1, {"c": 2}]} more') == '{"a": "}", "b": [1, {"c": 2}]}'
+    assert balanced_json("{bad} then [1, 2]") == "[1, 2]"
+    assert balanced_json("{never [closed") is None and balanced_json(None) is None
+    assert balanced_json('[open {"a": "\\\\"}') == '{"a": "\\\\"}'
+    assert load("spanloom.functions.segment:plain_tagger")("a b")[1].text == "b"
+    with pytest.raises(ValueError):
+        load("spanloom.functions.segment:MOST_TOKENS")
