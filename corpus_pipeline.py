@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm import jaccard_join, mixing, packing, quality, radix_dedup
 from spanloom.llm.common import stage
 from spanloom.llm.queries import tokenizer_path
+from spanloom.session import ship
 
 #: Documents scored below this are rejected.
 LEAST_QUALITY = 0.7
@@ -58,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
