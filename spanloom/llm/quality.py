@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Bounds of the sample that the model is fitted on: labelled rows, and bytes of their texts.
-MAX_ROWS, MAX_BYTES = 6000, 32 << 20
+MAX_ROWS, MAX_BYTES = 4000, 16 << 20
 #: Numbers of a vector, non-zeros of an index vector, words each way that count as context.
 DIM, NONZERO, WINDOW = 48, 6, 2
 #: Words with vectors of their own at most, and in how many training texts they must occur.
 MAX_WORDS, MIN_TEXTS = 40_000, 3
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
+HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 4e-3, 1e-4
 CACHE_WORDS = 300_000
 
 _CLASSES = [(re.compile(p), c) for p, c in (("[A-ZÀ-ÖØ-Þ]+", "A"), ("[a-zß-öø-ÿ]+", "a"), ("[0-9]+", "0"))]
