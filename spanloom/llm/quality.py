@@ -29,14 +29,13 @@ MAX_WORDS, MIN_TEXTS = 40_000, 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 4e-3, 1e-4
 CACHE_WORDS = 300_000
 
-_CLASSES = [(re.compile(p), c) for p, c in (("[A-ZÀ-ÖØ-Þ]+", "A"), ("[a-zß-öø-ÿ]+", "a"), ("[0-9]+", "0"))]
+_SIGNS = {code: sign for first, last, sign in (("A", "Z", "A"), ("À", "Ö", "A"), ("Ø", "Þ", "A"), ("a", "z", "a"), ("ß", "ö", "a"), ("ø", "ÿ", "a"), ("0", "9", "0")) for code in range(ord(first), ord(last) + 1)}
+_REPEATS = re.compile(r"(.)\1+").sub
 
 
 def shape_of(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each, other signs once for each run."""
-    for pattern, sign in _CLASSES:
-        word = pattern.sub(sign, word)
-    return re.sub(r"(.)\1+", r"\1", word)[:12]
+    return _REPEATS(r"\1", word[:64].translate(_SIGNS))[:12]
 
 
 def _tokens(text: str | None) -> list[str]:
@@ -110,13 +109,13 @@ def pool(texts: list, words: dict, shapes: dict, vectors: np.ndarray, cache: dic
     return out
 
 
-def _index_vectors(names: list[str], seed: int) -> np.ndarray:
-    """Sparse vectors of +1 and -1, drawn for each name from its own hash."""
-    out = np.zeros((len(names), DIM), np.float32)
+def _index_vectors(names: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zeros of each name's vector, drawn from its own hash."""
+    places, signs = np.zeros((len(names), NONZERO), np.int64), np.zeros((len(names), NONZERO))
     for i, name in enumerate(names):
         rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
-        out[i, rng.permutation(DIM)[:NONZERO]] = rng.choice([-1.0, 1.0], NONZERO)
-    return out
+        places[i], signs[i] = rng.permutation(DIM)[:NONZERO], rng.choice([-1.0, 1.0], NONZERO)
+    return places, signs
 
 
 def _forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,20 +165,23 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
     shapes.setdefault("\nother", len(shapes))
     known = sorted((w for w, c in spread.items() if c >= MIN_TEXTS), key=lambda w: (-spread[w], w))[:MAX_WORDS]
     words = {w: len(shapes) + i for i, w in enumerate(known)}
-    index = _index_vectors([*shapes, *words], seed)
-    context = np.zeros_like(index)
+    places, signs = _index_vectors([*shapes, *words], seed)
+    context = np.zeros((len(places), DIM))
+    flat = context.reshape(-1)
     cache: dict = {}
     for i in range(0, len(texts), 64):
         codes, sizes = _codes(texts[i : i + 64], words, shapes, cache)
         own, form, text = codes >> 32, codes & 0xFFFFFFFF, np.repeat(np.arange(len(sizes)), sizes)
         for o in range(1, WINDOW + 1):
             near = text[o:] == text[:-o]
-            for a, b in ((own[:-o][near], own[o:][near]), (own[o:][near], own[:-o][near])):
-                np.add.at(context, a, index[b])
-            for a, b in ((form[:-o][near], form[o:][near]), (form[o:][near], form[:-o][near])):
-                np.add.at(context, a, index[b])
+            for rows in (own, form):
+                a, b = rows[:-o][near], rows[o:][near]
+                for at, by in ((a, b), (b, a)):
+                    np.add.at(flat, (at[:, None] * DIM + places[by]).ravel(), signs[by].ravel())
+    index = np.zeros_like(context)
+    np.put_along_axis(index, places, signs, 1)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = index / np.sqrt(NONZERO) + context / np.where(norm > 0, norm, 1)
+    vectors = (index / np.sqrt(NONZERO) + context / np.where(norm > 0, norm, 1)).astype(np.float32)
 
     x = pool(texts, words, shapes, vectors, cache)
     held = np.random.default_rng(seed).permutation(len(x)) % 5 == 0
@@ -191,7 +193,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
     temperature = 1.0
     if held.any():
         z = _forward(x[held], layers)[1]
-        loss = lambda t: -np.mean(y[held] * np.log(_sigmoid(z / t) + 1e-12) + (1 - y[held]) * np.log(1 - _sigmoid(z / t) + 1e-12))
+        ones, zeros = y[held].sum(), (1 - y[held]).sum()
+        aim = np.where(y[held] > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))  # so that a clean split doesn't ask for certainty
+        loss = lambda t: -np.mean(aim * np.log(_sigmoid(z / t) + 1e-12) + (1 - aim) * np.log(1 - _sigmoid(z / t) + 1e-12))
         temperature = float(min(np.geomspace(0.25, 8, 101), key=loss))
     return Model(words, shapes, vectors, mean, scale, layers, temperature)
 
