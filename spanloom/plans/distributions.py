@@ -140,7 +140,7 @@ def codebook_frequencies(spark, d):
 
 @query(
     "duplicates_collapsed",
-    """WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS kept FROM part GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY kept) AS new_index FROM f)
+    """WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS kept FROM part GROUP BY 1, 2), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY kept) AS INTEGER) AS new_index FROM f)
     SELECT p.p_brand, p.p_type, p.p_partkey, kept, new_index FROM part p JOIN i ON p.p_brand = i.p_brand AND p.p_type = i.p_type""",
 )
 def duplicates_collapsed(spark, d):

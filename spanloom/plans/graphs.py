@@ -41,7 +41,7 @@ def ego_graph_nodes(spark, d):
 
 @query("message_ego_graphs", f"""
 WITH {_CLAUSES}, s AS (SELECT * FROM (SELECT id AS source, lead(id) OVER (PARTITION BY message ORDER BY id) AS target FROM c) WHERE target IS NOT NULL)
-SELECT source AS graph_id, source, target, 'next' AS label, 0.8 AS weight FROM s UNION ALL SELECT target, source, target, 'next', 0.8 FROM s
+SELECT source AS graph_id, source, target, 'next' AS label, CAST(0.8 AS DOUBLE) AS weight FROM s UNION ALL SELECT target, source, target, 'next', 0.8 FROM s
 UNION ALL SELECT a.id, a.id, b.id, 'elaboration', 0.6 FROM (SELECT * FROM c WHERE {_CUE['elaboration']}) a JOIN c b ON a.message = b.message AND a.id <> b.id
 UNION ALL SELECT a.id, a.id, b.id, 'contrast', 0.5 FROM (SELECT * FROM c WHERE {_CUE['contrast']}) a JOIN c b ON a.message = b.message AND a.id <> b.id""")
 def message_ego_graphs(spark, d):

@@ -25,7 +25,7 @@ def json_lines_source(spark, d):
     return R.jsonl(spark, path, "conv_id long, turn long, role string")
 
 
-@query("numbered_lines_source", "SELECT n_nationkey, n_name, n_nationkey AS message_id FROM nation")
+@query("numbered_lines_source", "SELECT n_nationkey, n_name, CAST(n_nationkey AS BIGINT) AS message_id FROM nation")
 def numbered_lines_source(spark, d):
     path = _place(spark, "numbered")
     table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").coalesce(1).write.json(path)
