@@ -41,11 +41,11 @@ def message_tree(spark, d):
 
 
 def _located(spark, d):
-    """Passages of the benchmark where they stand in documents: candidates share an eight-word run with it."""
+    """Passages of the benchmark, of eight words or more, where they stand in documents: candidates hold their first eight words."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     run = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
-    keys = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"), words(F.col("text")).alias("w")).where("size(w) >= 12")
-    keys = keys.select("item_id", "span", run(F.col("w"), 3).alias("k"))
+    keys = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"), words(F.col("text")).alias("w")).where("size(w) >= 8")
+    keys = keys.select("item_id", "span", run(F.col("w"), 1).alias("k"))
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", words(F.col("text")).alias("w")).where("size(w) >= 8")
     grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: run(F.col("w"), i))).alias("k"))
     met = grams.join(keys, "k").select("doc_id", "item_id", "span").distinct()
@@ -68,10 +68,10 @@ def span_boundary_stats(spark, d):
 
 
 def _units(spark, d):
-    """Sentences of turns against the first words of their own conversation's turns, as annotations would be."""
+    """Sentences of turns against the texts of their own conversation's turns, as annotations would be."""
     sents = sentence_spans(spark, d).join(_turns(spark, d), ["conv_id", "turn"]).withColumn("sentence", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
     q = sents.select(F.col("conv_id").alias("k"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("conv_id", "turn", "pos")]).alias("query_id"), F.col("sentence").alias("query"), F.when(F.col("pos") == 0, "first").otherwise("later").alias("level"))
-    c = _turns(spark, d).select(F.col("conv_id").alias("k"), F.col("turn").alias("cand_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("cand"), F.col("turn").alias("pos"))
+    c = _turns(spark, d).select(F.col("conv_id").alias("k"), F.col("turn").alias("cand_id"), F.col("text").alias("cand"), F.col("turn").alias("pos"))
     return q, c
 
 

@@ -100,10 +100,10 @@ def path_coverage(spark, d):
     return D.path_coverage(rows, ["r_name", "n_name", "c_mktsegment"], "c_custkey", sets)
 
 
-@query("unmapped_labels", "SELECT DISTINCT p_brand AS label FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey < 12) ORDER BY 1 LIMIT 30")
+@query("unmapped_labels", "SELECT DISTINCT p_brand AS label FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_type = 'ECONOMY' AND p_size > 40) ORDER BY 1 LIMIT 30")
 def unmapped_labels(spark, d):
     part = table(spark, d, "part")
-    return D.unmapped(part, "p_brand", part.where("p_partkey < 12").select("p_brand"))
+    return D.unmapped(part, "p_brand", part.where("p_type = 'ECONOMY' AND p_size > 40").select("p_brand"))
 
 
 @query(

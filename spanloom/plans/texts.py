@@ -17,14 +17,16 @@ def _sql(columns: str, source: str = "SELECT doc_id, coalesce(text, '') AS text
     return f"SELECT doc_id, {columns} FROM ({source})"
 
 
-@query("jaccard_words_first_line", r"""
-WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(split_part(coalesce(text, ''), chr(10), 1)), '\s+'), lambda w: w <> '')) AS a,
-                  list_distinct(list_filter(regexp_split_to_array(lower(split_part(coalesce(text, ''), chr(10), 2)), '\s+'), lambda w: w <> '')) AS b FROM documents)
-SELECT doc_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS similarity FROM d""")
-def jaccard_words_first_line(spark, d):
-    parts = F.split(F.col("text"), "\n")
-    words = lambda i: X.blank_words(F.coalesce(F.get(parts, i), F.lit("")))
-    return rounded(_docs(spark, d).select("doc_id", X.jaccard(words(0), words(1)).alias("similarity")))
+@query("jaccard_with_previous_turn", r"""
+WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')) AS a FROM conversations),
+p AS (SELECT conv_id, turn, a, coalesce(lag(a) OVER (PARTITION BY conv_id ORDER BY turn), []) AS b FROM w)
+SELECT conv_id, turn, round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS similarity FROM p""")
+def jaccard_with_previous_turn(spark, d):
+    from pyspark.sql.window import Window as W
+
+    rows = table(spark, d, "conversations").select("conv_id", "turn", X.blank_words(F.coalesce("text", F.lit(""))).alias("a"))
+    rows = rows.withColumn("b", F.coalesce(F.lag("a").over(W.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>")))
+    return rounded(rows.select("conv_id", "turn", X.jaccard(F.col("a"), F.col("b")).alias("similarity")))
 
 
 @query("model_word_counts", _sql(r"CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS INTEGER) AS n_words, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS INTEGER) AS n_distinct"))
@@ -89,12 +91,13 @@ def clause_flags(spark, d):
 _TOPICS = {"joining": ["the", "and", "of"], "being": ["is", "are", "was"]}
 
 
+_HITS = r"len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ({words})))"
+
+
 @query("topic_features", _sql(", ".join(
-    rf"CAST(len(regexp_extract_all(text, '(?i)\b(?:{'|'.join(w)})\b')) AS INTEGER) AS topic_{n}_count, CAST(len(regexp_extract_all(text, '(?i)\b(?:{'|'.join(w)})\b')) > 0 AS INTEGER) AS topic_{n}_has" for n, w in _TOPICS.items()),
-    "SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE lang = 'en'"))
+    f"CAST({_HITS.format(words=', '.join(repr(w) for w in words))} AS INTEGER) AS topic_{n}_count, CAST({_HITS.format(words=', '.join(repr(w) for w in words))} > 0 AS INTEGER) AS topic_{n}_has" for n, words in _TOPICS.items())))
 def topic_features(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return P.topic_features(docs, "text", _TOPICS).drop("text")
+    return P.topic_features(_docs(spark, d), "text", _TOPICS).drop("text")
 
 
 @query("cue_features", _sql(r"CAST(contains(text, '?') AS INTEGER) AS has_question, CAST(contains(lower(text), 'please') AS INTEGER) AS has_please, CAST(contains(lower(text), 'thank') AS INTEGER) AS has_thanks, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS INTEGER) AS len_words"))
