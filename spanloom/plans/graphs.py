@@ -149,16 +149,19 @@ def _spans(spark, d):
     return G.bio_spans(rows.dropDuplicates(["sentence", "pos"]))
 
 
-@query("role_spans", f"""
-WITH t AS (SELECT DISTINCT l_orderkey AS sentence, 0 AS predicate, l_linenumber AS pos, 'w' || l_linenumber AS token, {_TAGS} AS tag FROM lineitem),
+_SPANS = f"""
+t AS (SELECT DISTINCT l_orderkey AS sentence, 0 AS predicate, l_linenumber AS pos, 'w' || l_linenumber AS token, {_TAGS} AS tag FROM lineitem),
 r AS (SELECT *, regexp_replace(tag, '^[BI]-', '') AS role, regexp_replace(coalesce(lag(tag) OVER w, 'O'), '^[BI]-', '') AS before FROM t WINDOW w AS (PARTITION BY sentence ORDER BY pos)),
-g AS (SELECT *, sum(CASE WHEN tag LIKE 'B-%' OR before = 'O' OR before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY sentence ORDER BY pos) AS run FROM r)
-SELECT sentence, predicate, role, min(pos) AS start, max(pos) + 1 AS "end", string_agg(token, ' ' ORDER BY pos) AS text FROM g WHERE tag <> 'O' GROUP BY sentence, predicate, run, role""")
+g AS (SELECT *, sum(CASE WHEN tag LIKE 'B-%' OR before = 'O' OR before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY sentence ORDER BY pos) AS run FROM r),
+spans AS (SELECT sentence, predicate, role, min(pos) AS start, max(pos) + 1 AS "end", string_agg(token, ' ' ORDER BY pos) AS text FROM g WHERE tag <> 'O' GROUP BY sentence, predicate, run, role)"""
+
+
+@query("role_spans", f"WITH {_SPANS} SELECT * FROM spans")
 def role_spans(spark, d):
     return _spans(spark, d)
 
 
-@query("role_graphs")
+@query("role_graphs", f"WITH {_SPANS} SELECT v.sentence || '_' || v.predicate AS graph_id, v.text AS source, s.text AS target, s.role AS label FROM spans v JOIN spans s ON v.sentence = s.sentence AND v.predicate = s.predicate WHERE v.role = 'V' AND s.role <> 'V'")
 def role_graphs(spark, d):
     return G.role_edges(_spans(spark, d))
 

@@ -91,11 +91,22 @@ def _asked(spark, d):
     return rows.select("sentence_id", F.concat_ws("-", "sentence_id", F.col("p").cast("string")).alias("phrase_id"), "c.text", "c.type")
 
 
-@query("phrase_candidates")
+_CANDIDATES = rf"""
+sets AS (SELECT x, list_distinct(list_transform(range(1, length(x) + 1), lambda i: substring(' ' || x || ' ', CAST(i AS BIGINT), 3))) AS g, list_distinct(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '')) AS w FROM (SELECT DISTINCT {_NORM} AS x FROM ph)),
+have AS (SELECT DISTINCT {_NORM} AS norm, type FROM pool), ask AS (SELECT rec_id || '-' || clause_no AS phrase_id, rec_id AS sentence_id, {_NORM} AS q, type FROM ph WHERE label = 'user'),
+pairs AS (SELECT a.q, h.norm, a.type, len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g) - len(list_intersect(s.g, t.g))) AS jg, len(list_intersect(s.w, t.w)) / (len(s.w) + len(t.w) - len(list_intersect(s.w, t.w))) AS jw
+  FROM (SELECT DISTINCT q, type FROM ask) a JOIN have h ON h.type = a.type AND h.norm <> a.q JOIN sets s ON s.x = a.q JOIN sets t ON t.x = h.norm
+  WHERE least(len(s.w), len(t.w)) >= 0.85 * greatest(len(s.w), len(t.w)) AND least(len(s.w), len(t.w)) > 0),
+met AS (SELECT phrase_id, sentence_id, norm, ask.type, jg AS similarity, 0 AS exact FROM ask JOIN pairs ON pairs.q = ask.q AND pairs.type = ask.type WHERE jg >= 0.85 AND jw >= 0.85
+  UNION ALL SELECT phrase_id, sentence_id, norm, ask.type, 1.0, 1 FROM ask JOIN have ON have.norm = ask.q AND have.type = ask.type),
+found AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY phrase_id ORDER BY similarity DESC, exact DESC, norm) <= 5)"""
+
+
+@query("phrase_candidates", f"WITH {_PHRASES}, {_CANDIDATES} SELECT phrase_id, norm, type, round(similarity, 6) AS similarity FROM found")
 def phrase_candidates(spark, d):
     rows = _phrases(spark, d)
     edges = P.association(rows)
-    return P.candidates(_asked(spark, d), P.build_index(P.phrase_pool(rows, edges), edges)[0])
+    return rounded(P.candidates(_asked(spark, d), P.build_index(P.phrase_pool(rows, edges), edges)[0]))
 
 
 @query("exact_sentence_scores", f"""
@@ -113,10 +124,15 @@ def exact_sentence_scores(spark, d):
     return rounded(P.sentence_scores(asked, found, scores, P.label_prior(edges)))
 
 
-@query("sentence_scores")
+@query("sentence_scores", f"""
+WITH {_PHRASES}, {_CANDIDATES}, sc AS (SELECT {_NORM} AS norm, type, label, sum(doc_cofreq) AS cofreq, max(pmi) AS pmi FROM edges GROUP BY 1, 2, 3), pr AS (SELECT label, 0.5 * ln(1 + sum(doc_cofreq)) AS base FROM edges GROUP BY 1),
+h AS (SELECT sentence_id, label, sum(greatest(pmi, 0) * ln(1 + cofreq) * similarity) AS hit FROM found q JOIN sc ON q.norm = sc.norm AND q.type = sc.type GROUP BY 1, 2),
+s AS (SELECT i.sentence_id, pr.label, coalesce(hit, 0) + base AS score FROM (SELECT DISTINCT sentence_id FROM ask) i CROSS JOIN pr LEFT JOIN h ON h.sentence_id = i.sentence_id AND h.label = pr.label),
+m AS (SELECT *, exp(score - max(score) OVER (PARTITION BY sentence_id)) AS e FROM s)
+SELECT sentence_id, label, round(score, 6) AS score, round(e / sum(e) OVER (PARTITION BY sentence_id), 6) AS probability FROM m""")
 def sentence_scores(spark, d):
     rows = _phrases(spark, d)
     edges = P.association(rows)
     keys, scores = P.build_index(P.phrase_pool(rows, edges), edges)
     asked = _asked(spark, d)
-    return P.sentence_scores(asked, P.candidates(asked, keys), scores, P.label_prior(edges))
+    return rounded(P.sentence_scores(asked, P.candidates(asked, keys), scores, P.label_prior(edges)))

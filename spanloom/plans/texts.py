@@ -141,7 +141,13 @@ def stems(spark, d):
     return table(spark, d, "part").select("p_partkey", X.stem_without(F.replace("p_name", F.lit(" "), F.lit("_")), ["ring", "bolt", "srl"]).alias("stem"))
 
 
-@query("markdown_stripped")
+def _markdown_sql(value: str) -> str:
+    for pattern, to in X.MARKDOWN:
+        value = f"regexp_replace({value}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"trim(regexp_replace({value}, '^\\s+|\\s+$', '', 'g')) || chr(10)"
+
+
+@query("markdown_stripped", f"SELECT page_id, md5({_markdown_sql("coalesce(html, '')")}) AS text_md5 FROM pages")
 def markdown_stripped(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(X.strip_markdown(F.coalesce("html", F.lit(""))).cast("binary")).alias("text_md5"))
 
