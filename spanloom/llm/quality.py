@@ -27,7 +27,7 @@ DIM, NONZERO, WINDOW = 48, 6, 2
 #: Words with vectors of their own at most, and in how many training texts they must occur.
 MAX_WORDS, MIN_TEXTS = 40_000, 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 4e-3, 1e-4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _SIGNS = {code: sign for first, last, sign in (("A", "Z", "A"), ("À", "Ö", "A"), ("Ø", "Þ", "A"), ("a", "z", "a"), ("ß", "ö", "a"), ("ø", "ÿ", "a"), ("0", "9", "0")) for code in range(ord(first), ord(last) + 1)}
 _REPEATS = re.compile(r"(.)\1+").sub
