@@ -57,9 +57,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     from an equal share by no more than a document or the group kept whole there.
     Size is a text's UTF-8 bytes plus 16; a null text counts as empty, a null id
     sorts first. Copies of a text lie together, in one shard where their bytes
-    are at most 2 % of a shard, else cut where the share ends. Rows that repeat an
-    id and a text are dealt in turn. An empty table gives no rows; other columns
-    are ignored.
+    are at most 2 % of a shard, else cut where the share ends. Rows that repeat
+    both an id and a text share a range, whose rows one task numbers, and are
+    dealt in turn. An empty table gives no rows; other columns are ignored.
 
     Only sampled keys (some 10,000, however large the table) and a total for each
     range are collected. Ranges that come out overfull are sampled and
