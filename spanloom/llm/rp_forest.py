@@ -1,8 +1,12 @@
 """Embedding near-dedup with a random-projection tree forest.
 
-Each tree splits by random directions at the middle of a fitted sample, and rows
-near a split go down both sides. Trees differ in their directions; vectors are
-compared within leaves, verified in double precision, and united.
+Dense groups come first: vectors that reach the threshold with a pivot, drawn
+where the sample is dense, are compared exactly with all vectors that could link
+with them (angles add up, so these lie within twice the link's angle of the
+pivot), in bounded tiles. The others go down trees: each splits by random
+directions at the middle of a fitted sample, and rows near a split go down both
+sides. Trees differ in their directions; vectors are compared within leaves,
+verified in double precision, and united.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .common import connected_components, stage
 TREES, LEAF, SPILL = 8, 2000, 0.07
 #: Vectors that splits are fitted on at most, and how many of them a leaf should have.
 MAX_SAMPLE, LEAF_SAMPLE = 200_000, 32
+#: Others of the sample that a pivot homes at least, and vectors on each side of a tile.
+DENSE, TILE = 4, 4000
 
 
 def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
@@ -55,15 +61,8 @@ def descend(x: np.ndarray, splits: list, depth: int) -> tuple[np.ndarray, np.nda
     return row, node
 
 
-def leaf_pairs(x: np.ndarray, threshold: float, rng: np.random.Generator, leaf: int = LEAF) -> np.ndarray:
-    """Pairs (i, j), i < j, of unit rows at ``threshold`` or more, splitting on while more rows meet than a leaf has."""
-    if len(x) > leaf:
-        splits = grow(x, 1, rng)
-        row, node = descend(x, splits, 1)
-        sides = [row[node == n] for n in (1, 2)]
-        if all(len(s) < 0.95 * len(x) for s in sides):
-            found = [s[leaf_pairs(x[s], threshold, rng, leaf)] for s in sides]
-            return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+def leaf_pairs(x: np.ndarray, threshold: float, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Pairs (i, j), i < j, of unit rows at ``threshold`` or more: all of them, in blocks; ``rng`` is not used."""
     found = []
     for lo in range(0, len(x), 1000):
         i, j = np.nonzero(x[lo : lo + 1000] @ x[lo:].T >= threshold - 1e-9)
@@ -71,6 +70,49 @@ def leaf_pairs(x: np.ndarray, threshold: float, rng: np.random.Generator, leaf:
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+def dense_pivots(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of the sample such that few others reach ``threshold`` with any row that reaches it with none of them."""
+    counts = np.zeros(len(sample), np.int64)
+    for lo in range(0, len(sample), 500):
+        counts[lo : lo + 500] = (sample[lo : lo + 500] @ sample.T >= threshold).sum(1) - 1
+    free, pivots = np.ones(len(sample), bool), []
+    for i in np.argsort(-counts, kind="stable"):
+        if counts[i] < DENSE:
+            break
+        if free[i]:
+            own = free & (sample @ sample[i] >= threshold)
+            if own.sum() > DENSE:
+                pivots.append(i)
+                free &= ~own
+    return sample[pivots]
+
+
+def tile_counts(x: np.ndarray, y: np.ndarray, weigh_x: np.ndarray, weigh_y: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Weights that link with each row of x, and with each of y, and links as stars that join what all links join."""
+    ux, uy = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+    linked = np.empty((len(x), len(y)), bool)
+    for lo in range(0, len(x), 500):
+        cosine = ux[lo : lo + 500] @ uy.T
+        linked[lo : lo + 500] = cosine >= threshold
+        i, j = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+        linked[lo + i, j] = _cosines(x[lo + i], y[j]) >= threshold
+    linked &= ids_x[:, None] != ids_y[None, :]
+    counts = (linked * weigh_y).sum(1), (weigh_x[:, None] * linked).sum(0)
+    stars, left = [], linked.any(1)
+    while left.any():
+        own, met = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        ahead = np.array([left.argmax()])
+        while len(ahead):
+            own[ahead] = True
+            new = linked[ahead].any(0) & ~met
+            met |= new
+            ahead = np.nonzero(linked[:, new].any(1) & ~own)[0]
+        left &= ~own
+        ids = np.unique(np.concatenate([ids_x[own], ids_y[met]])).tolist()
+        stars += [(ids[0], i) for i in ids[1:]]
+    return *counts, stars
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     dot = lambda p, q: np.einsum("ij,ij->i", p, q)
     return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
@@ -86,8 +128,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
     of up to ``leaf`` classes is compared exactly. An empty table gives no rows;
     other columns are ignored.
 
-    Splits are fitted on a seeded sample of at most ``MAX_SAMPLE`` vectors; every
-    vector goes down every tree.
+    Pivots and splits are fitted on a seeded sample of at most ``MAX_SAMPLE``
+    vectors. All links of vectors that a pivot homes are found; every other vector
+    goes down every tree, and links between those can be missed.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -96,32 +139,85 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
     rows = rows.withColumn("v", F.when(able, F.col("v")))
     groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("many"))
     groups = stage(groups, "forest-classes")
-    links = None
+    links = counts = None
     for dim, n in ((r["d"], r["n"]) for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
-        own = _links(groups.where(F.size("v") == dim), dim, n, threshold, trees, leaf, seed)
+        own, more = _links(groups.where(F.size("v") == dim), dim, n, threshold, trees, leaf, seed)
         links = own if links is None else links.unionByName(own)
+        if more is not None:
+            counts = more if counts is None else counts.unionByName(more)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     links = stage(links.distinct(), "forest-links")
-    component = connected_components(links).select(F.col("node").alias("c"), "component")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     many = groups.select(F.col("c").alias("b"), "many")
-    linked = both.join(many, "b").groupBy(F.col("a").alias("c")).agg(F.sum("many").alias("others"))
+    linked = both.join(many, "b").select(F.col("a").alias("c"), F.col("many").alias("others"))
+    if counts is not None:
+        linked = linked.unionByName(counts.where("b IS NULL").select(F.col("a").alias("c"), F.col("n").alias("others")))
+        links = links.unionByName(counts.where("b IS NOT NULL").select("a", "b"))
+    component = connected_components(links).select(F.col("node").alias("c"), "component")
+    linked = linked.groupBy("c").agg(F.sum("others").alias("others"))
     info = groups.join(component, "c", "left").join(linked, "c", "left")
     info = stage(info.select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links")), "forest-info")
     out = rows.join(info.hint("merge"), "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(groups: DataFrame, dim: int, n: int, threshold: float, trees: int, leaf: int, seed: int) -> DataFrame:
+def _home(groups: DataFrame, pivots: np.ndarray, dim: int, threshold: float) -> DataFrame:
+    """groups with home, the pivot that a vector is nearest to if it reaches ``threshold`` with it (else -1), and near, those of whose homed vectors it may link with one."""
+    sent = groups.sparkSession.sparkContext.broadcast(pivots)
+    reach = np.cos(min(np.pi, 2 * np.arccos(np.clip(threshold, -1, 1)))) - 1e-6
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.stack([np.asarray(v, float) for v in b["v"]]) if len(b) else np.zeros((0, dim))
+            at = x @ sent.value.T / np.linalg.norm(x, axis=1, keepdims=True)
+            best = at.argmax(1)
+            home = np.where(at[np.arange(len(x)), best] >= threshold, best, -1)
+            yield pd.DataFrame({"c": b["c"], "v": b["v"], "many": b["many"], "home": home, "near": [np.nonzero(r >= reach)[0].tolist() for r in at]})
+
+    return groups.select("c", "v", "many").mapInPandas(run, "c long, v array<double>, many long, home int, near array<int>")
+
+
+def _tiled(homed: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(a, b, n): links of homed vectors as stars, and, where b is null, the weight n of others that link with a; each link counts once on each side that is to know it."""
+    sizes = homed.select("home", F.explode("near").alias("p")).groupBy("p").agg(F.count("*").alias("near"), F.sum((F.col("home") == F.col("p")).cast("long")).alias("own"))
+    sizes = sizes.select("p", F.ceil(F.col("own") / TILE).alias("rows"), F.ceil(F.col("near") / TILE).alias("columns")).where("rows > 0")
+    sizes = stage(sizes, "forest-sizes")
+    part = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    near = homed.select("c", "v", "many", "home", F.explode("near").alias("p")).join(sizes, "p")
+    columns = near.select("p", every("rows").alias("i"), part("columns", 2).alias("j"), "c", "v", "many", (F.col("home") >= 0).alias("homed"), F.lit(False).alias("row"))
+    rows = homed.withColumn("p", F.col("home")).join(sizes, "p").select("p", part("rows", 1).alias("i"), every("columns").alias("j"), "c", "v", "many", F.lit(True).alias("homed"), F.lit(True).alias("row"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, ids, many = np.stack(pdf["v"].to_list()).astype(float).reshape(len(pdf), dim), pdf["c"].to_numpy(), pdf["many"].to_numpy()
+        row = pdf["row"].to_numpy(bool)
+        own, other, stars = tile_counts(v[row], v[~row], many[row], many[~row], ids[row], ids[~row], threshold)
+        told = (other > 0) & ~pdf["homed"].to_numpy(bool)[~row]
+        counts = pd.DataFrame({"a": np.concatenate([ids[row][own > 0], ids[~row][told]]), "n": np.concatenate([own[own > 0], other[told]])})
+        return pd.concat([counts.assign(b=pd.array([None] * len(counts), "Int64")), pd.DataFrame(stars, columns=["a", "b"], dtype="Int64").assign(n=0)])[["a", "b", "n"]].astype("Int64")
+
+    return rows.unionByName(columns).groupBy("p", "i", "j").applyInPandas(compare, "a long, b long, n long")
+
+
+def _links(groups: DataFrame, dim: int, n: int, threshold: float, trees: int, leaf: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b) found by trees, and what ``_tiled`` finds, if anything is dense."""
     spark = groups.sparkSession
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
-    depth = min(depth, int(math.log2(MAX_SAMPLE / LEAF_SAMPLE)))
+    deep = lambda n: min(max(0, math.ceil(math.log2(max(1, n / leaf)))), int(math.log2(MAX_SAMPLE / LEAF_SAMPLE)))
+    depth = deep(n)
     wanted = min(MAX_SAMPLE, LEAF_SAMPLE << depth)
     unit = F.pmod(F.xxhash64(F.lit(seed), "c"), F.lit(1 << 30)) / float(1 << 30)
     drawn = groups.where(unit < wanted / max(1, n)).select("c", "v").collect() if depth else []
     sample = np.array([r["v"] for r in sorted(drawn)], dtype=float).reshape(len(drawn), dim)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    pivots, counts = dense_pivots(sample, threshold), None
+    if len(pivots):
+        homed = stage(_home(groups, pivots, dim, threshold), "forest-homes")
+        counts = stage(_tiled(homed, dim, threshold), "forest-tiles")
+        groups = homed.where("home < 0")
+        depth = deep(groups.count())
+        for lo in range(0, len(pivots), 100):
+            sample = sample[(sample @ pivots[lo : lo + 100].T).max(1, initial=-2) < threshold]
     count = trees if depth else 1
     forest = spark.sparkContext.broadcast([grow(sample, depth, np.random.default_rng([seed, t])) for t in range(count)])
 
@@ -133,10 +229,10 @@ def _links(groups: DataFrame, dim: int, n: int, threshold: float, trees: int, le
                 row, node = descend(unit_x, splits, depth)
                 yield pd.DataFrame({"tree": t, "node": node, "c": b["c"].to_numpy()[row], "v": [v.tobytes() for v in x[row]]})
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim)
         unit_x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        pairs = leaf_pairs(unit_x, threshold, np.random.default_rng([seed, *map(int, key)]), leaf)
+        pairs = leaf_pairs(unit_x, threshold)
         ids = pdf["c"].to_numpy()
         at = [pairs[i : i + 50_000] for i in range(0, len(pairs), 50_000)]
         sure = [p[_cosines(x[p[:, 0]], x[p[:, 1]]) >= threshold] for p in at]
@@ -144,4 +240,4 @@ def _links(groups: DataFrame, dim: int, n: int, threshold: float, trees: int, le
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     dealt = groups.select("c", "v").mapInPandas(deal, "tree int, node long, c long, v binary")
-    return dealt.groupBy("tree", "node").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("tree", "node").applyInPandas(compare, "a long, b long").distinct(), counts

@@ -195,6 +195,19 @@ def test_recall_of_the_forest():
     assert len(found) >= 0.97 * len(true)
 
 
+def test_links_in_a_dense_group_are_whole(spark):
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=64) + 0.27 * rng.normal(size=(700, 64))
+    x = np.concatenate([near, rng.normal(size=(1300, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rp_forest.near_duplicates(df, leaf=100).collect()}
+    assert want[:700].sum() > 400_000
+    assert [got[i][0] for i in range(2000)] == want.tolist()
+    assert {got[i][1] for i in range(700) if want[i]} == {0}
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [float("inf"), 1.0]), (10, [1.0, 0.0, 0.0]), (11, [0.95, 0.1]), (12, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS c", "2 AS v", "3 AS many")
