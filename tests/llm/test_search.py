@@ -123,6 +123,15 @@ def test_common_parts_lose_no_link(spark, monkeypatch):
     assert jaccard(as_docs(spark, docs)) == brute_components(docs)
 
 
+def test_short_copies_with_a_common_start(spark):
+    start = "one two three four five six"
+    docs = [(1, f"{start} a b"), (2, f"{start} a b c")] + [(i, f"{start} x{i} y{i}") for i in range(10, 60)]
+    kept = {r["doc_id"] for r in jaccard_join.drop_near_copies(as_docs(spark, docs), words=5, percent=80).collect()}
+    assert kept == {1, *range(10, 60)}
+    pair = [(1, "a b c"), (2, "a b c d")]  # two shingles of three
+    assert {i: c for i, (_, c) in jaccard(as_docs(spark, pair), words=2, percent=60).items()} == {1: 1, 2: 1}
+
+
 def test_driver_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert jaccard(docs) == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
