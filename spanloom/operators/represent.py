@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import char_ngrams, model_words
+from spanloom.llm.common import stage
 
-#: Terms kept for dense models at most; a Gram matrix of that side fits the driver.
+#: Terms up to which the Gram matrix is solved on the driver; beyond that, directions are iterated on the rows.
 MAX_DENSE_TERMS = 4000
+#: Directions iterated beside those asked for, rounds at most, and the change of singular values that ends them.
+EXTRA, ROUNDS, SETTLED = 20, 60, 1e-9
+#: Numbers of a block of term vectors in one row.
+BLOCK_TERMS = 2000
 
 
 def word_terms(texts: DataFrame, most: int = 2) -> DataFrame:
@@ -47,20 +54,38 @@ def tfidf(terms: DataFrame, min_df: int = 2, max_df: float = 1.0, documents: int
     return raw.join(size, "id").select("id", "term", (F.col("weight") / F.col("size")).alias("weight"))
 
 
-def lsa(weights: DataFrame, k: int = 200, max_terms: int = MAX_DENSE_TERMS) -> DataFrame:
-    """id, vector: documents in the space of the k strongest directions, as unit vectors.
+def lsa(weights: DataFrame, k: int = 200, dense: int = MAX_DENSE_TERMS, ids: DataFrame | None = None) -> DataFrame:
+    """id, vector: documents in the space of the k strongest directions of all terms, as unit vectors.
 
-    The directions come from the Gram matrix of the ``max_terms`` heaviest terms,
-    summed where the rows lie; its side is bounded, so it is solved on the driver.
-    Each direction's sign makes its largest part positive.
+    Up to ``dense`` terms, the directions come from the Gram matrix of the terms,
+    summed where the rows lie. Beyond that, the Gram matrix is multiplied with a
+    block of k and some more vectors in rounds, until the values settle or ``ROUNDS`` are over; rows meet
+    the terms' vectors in joins, and only matrices of the block's side reach the
+    driver. Each direction's sign makes its largest part positive. ``ids``: texts
+    that get a row in any case; those without terms have a vector of zeros.
     """
     spark = weights.sparkSession
-    heavy = [r["term"] for r in weights.groupBy("term").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).orderBy(F.desc("s"), "term").limit(max_terms).collect()]
-    if not heavy:
-        return spark.createDataFrame([], "id long, vector array<double>")
+    weights = stage(weights.select("id", "term", "weight"), "lsa-weights")
+    terms = weights.select("term").distinct()
+    m = terms.count()
+    if m > dense:
+        out, width = _lsa_iterated(weights, k, m)
+    elif m:
+        out, width = _lsa_dense(weights, k)
+    else:
+        out, width = spark.createDataFrame([], "id long, vector array<double>"), 0
+    if ids is None:
+        return out
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return ids.select("id").distinct().join(out, "id", "left").select("id", F.coalesce("vector", zeros).alias("vector"))
+
+
+def _lsa_dense(weights: DataFrame, k: int) -> tuple[DataFrame, int]:
+    spark = weights.sparkSession
+    heavy = [r["term"] for r in weights.groupBy("term").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).orderBy(F.desc("s"), "term").collect()]
+    m = len(heavy)
     place = spark.createDataFrame([(t, i) for i, t in enumerate(heavy)], "term string, p int")
     rows = weights.join(F.broadcast(place), "term").select("id", "p", "weight")
-    m = len(heavy)
     docs = rows.groupBy("id").agg(F.collect_list("p").alias("p"), F.collect_list("weight").alias("w"))
 
     def gram(batches):
@@ -85,14 +110,107 @@ def lsa(weights: DataFrame, k: int = 200, max_terms: int = MAX_DENSE_TERMS) -> D
             out = [np.asarray(w) @ sent.value[np.asarray(p)] for p, w in zip(b["p"], b["w"])]
             yield pd.DataFrame({"id": b["id"], "vector": [v / (np.linalg.norm(v) or 1.0) for v in out]})
 
-    return docs.mapInPandas(project, "id long, vector array<double>")
+    return docs.mapInPandas(project, "id long, vector array<double>"), basis.shape[1]
+
+
+def _summed(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """key, x: sums of weight * x; partly where the rows lie, so that no term is gathered in one task."""
+
+    def part(batches):
+        sums: dict = {}
+        for b in batches:
+            codes, keys = pd.factorize(b[key])
+            x = np.stack(b["x"].to_list()) * b["weight"].to_numpy()[:, None] if len(b) else np.zeros((0, width))
+            total = np.zeros((len(keys), width))
+            np.add.at(total, codes, x)
+            for name, row in zip(keys, total):
+                if name in sums:
+                    sums[name] += row
+                else:
+                    sums[name] = row
+            if len(sums) >= BLOCK_TERMS:
+                yield pd.DataFrame({key: list(sums), "x": list(sums.values())})
+                sums = {}
+        yield pd.DataFrame({key: list(sums), "x": list(sums.values())})
+
+    kind = dict(rows.dtypes)[key]
+    parts = rows.select(key, "weight", "x").mapInPandas(part, f"{key} {kind}, x array<double>")
+    return parts.groupBy(key).agg(*[F.sum(F.get("x", i)).alias(f"x{i}") for i in range(width)]).select(key, F.array(*[f"x{i}" for i in range(width)]).alias("x"))
+
+
+def _inner(rows: DataFrame, width: int) -> np.ndarray:
+    """The sum of outer products of x with itself."""
+
+    def part(batches):
+        total = np.zeros((width, width))
+        for b in batches:
+            if len(b):
+                x = np.stack(b["x"].to_list())
+                total += x.T @ x
+        yield pd.DataFrame({"v": [total.ravel()]})
+
+    return sum((np.asarray(r["v"]) for r in rows.select("x").mapInPandas(part, "v array<double>").toLocalIterator()), np.zeros(width * width)).reshape(width, width)
+
+
+def _turned(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        for b in batches:
+            x = np.stack(b["x"].to_list()) @ sent.value if len(b) else []
+            yield pd.DataFrame({key: b[key], "x": list(x)})
+
+    return rows.select(key, "x").mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, x array<double>")
+
+
+def _whitener(inner: np.ndarray) -> np.ndarray:
+    """Turns x with these inner products into orthonormal directions, the strongest first; those that vanish are dropped."""
+    values, vectors = np.linalg.eigh(inner)
+    order = np.argsort(-values, kind="stable")
+    values, vectors = values[order], vectors[:, order]
+    kept = values > max(values[0], 0) * 1e-13
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
+def _lsa_iterated(weights: DataFrame, k: int, m: int) -> tuple[DataFrame, int]:
+    """Subspace iteration on the terms' Gram matrix."""
+    spark, width = weights.sparkSession, min(k + EXTRA, m)
+
+    def start(batches):
+        for b in batches:
+            yield pd.DataFrame({"term": b["term"], "x": [np.random.default_rng(zlib.crc32(t.encode())).normal(size=width) for t in b["term"]]})
+
+    block = stage(weights.select("term").distinct().mapInPandas(start, "term string, x array<double>"), "lsa-block")
+    block = stage(_turned(block, "term", _whitener(_inner(block, width))), "lsa-block")
+    before = None
+    for _ in range(ROUNDS):
+        width = block.select(F.size("x")).first()[0]
+        docs = stage(_summed(weights.join(block, "term"), "id", width), "lsa-docs")
+        values, vectors = np.linalg.eigh(_inner(docs, width))  # of the Gram matrix within the block
+        order = np.argsort(-values, kind="stable")[: min(k, width)]
+        if before is not None and len(before) == len(order) and np.abs(values[order] - before).max() <= SETTLED * values[order[0]]:
+            break
+        before = values[order]
+        ahead = stage(_summed(weights.join(docs, "id"), "term", width), "lsa-ahead")
+        block = stage(_turned(ahead, "term", _whitener(_inner(ahead, width))), "lsa-block")
+    else:
+        width = block.select(F.size("x")).first()[0]
+        docs = stage(_summed(weights.join(block, "term"), "id", width), "lsa-docs")
+        values, vectors = np.linalg.eigh(_inner(docs, width))
+        order = np.argsort(-values, kind="stable")[: min(k, width)]
+    basis = vectors[:, order]
+    largest = _turned(block, "term", basis).agg(*[F.max(F.struct(F.abs(F.get("x", i)), F.col("term"), F.get("x", i).alias("v"))).alias(f"m{i}") for i in range(len(order))]).first()
+    basis = basis * np.array([-1.0 if largest[i]["v"] < 0 else 1.0 for i in range(len(order))])
+    turned = _turned(docs, "id", basis)
+    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    return turned.select("id", F.when(size > 0, F.transform("x", lambda v: v / size)).otherwise(F.col("x")).alias("vector")), len(order)
 
 
 def vectors_or_tfidf(texts: DataFrame, embeddings: DataFrame | None, k: int = 200) -> DataFrame:
     """Given vectors (id, vector), or, where there are none, LSA of TF-IDF."""
     if embeddings is not None:
         return texts.select("id").join(embeddings.select("id", "vector"), "id")
-    return lsa(tfidf(word_terms(texts)), k)
+    return lsa(tfidf(word_terms(texts)), k, ids=texts)
 
 
 def kmeans(items: DataFrame, k: int, seed: int = 42) -> DataFrame:

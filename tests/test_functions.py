@@ -228,6 +228,17 @@ def test_sparse_cosine_is_complete(spark):
     assert all(abs(lsa[a] @ lsa[b] - cos(a, b)) < 1e-6 for a in vec for b in vec)  # all directions kept
 
 
+def test_lsa_of_many_terms_keeps_all(spark):
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice([f"w{j}" for j in range(8 * (i % 5), 8 * (i % 5) + 10)]) for _ in range(12))) for i in range(60)]
+    w = represent.tfidf(represent.word_terms(frame(spark, texts, "id long, text string"), 1), 1).cache()
+    ids = frame(spark, [(i,) for i in range(61)], "id long")
+    want = {r["id"]: np.array(r["vector"]) for r in represent.lsa(w, 5).collect()}
+    got = {r["id"]: np.array(r["vector"]) for r in represent.lsa(w, 5, 10, ids).collect()}
+    assert len(want) == 60 and set(got) == set(range(61)) and got[60].tolist() == [0.0] * 5
+    assert all(np.abs(got[i] - want[i]).max() < 1e-5 for i in want)
+
+
 def test_bigrams(spark):
     rows = represent.word_terms(frame(spark, [(1, "Ab cd x ef"), (2, "zz"), (3, "")], "id long, text string")).collect()
     assert sorted((r["id"], r["term"]) for r in rows) == [(1, "ab"), (1, "ab cd"), (1, "cd"), (1, "cd ef"), (1, "ef"), (2, "zz")]
