@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +38,31 @@ def match_form(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9'\s]", " ", text.lower())).strip()
 
 
+@F.pandas_udf(T.StringType())
+def match_form_udf(text: pd.Series) -> pd.Series:
+    return text.map(match_form, na_action="ignore")
+
+
+def inner_runs(text: str, n: int, first: bool = False) -> np.ndarray:
+    """Hashes of the distinct runs of n words of a text's normalised form, without its first and last word; or of the first run alone."""
+    words = match_form(text).split(" ")[1:-1]
+    if first:
+        words = words[:n]
+    if len(words) < n:
+        return np.zeros(0, np.int64)
+    codes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    total = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        total = (total ^ codes[i : i + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return np.unique(total).view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def inner_runs_udf(text: pd.Series, n: pd.Series, first: pd.Series) -> pd.Series:
+    return pd.Series([inner_runs(t, int(k), bool(f)) for t, k, f in zip(text, n, first)], dtype=object)
+
+
 def locate(span: str | None, text: str | None) -> tuple[int, int] | None:
     """Where a span stands in a text: exactly, else by normalised forms near that place, tightened."""
     if not span or not text:

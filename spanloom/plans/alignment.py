@@ -41,15 +41,28 @@ def message_tree(spark, d):
 
 
 def _located(spark, d):
-    """Passages of the benchmark, of eight words or more, where they stand in documents: candidates hold their first eight words."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    run = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
-    keys = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"), words(F.col("text")).alias("w")).where("size(w) >= 8")
-    keys = keys.select("item_id", "span", run(F.col("w"), 1).alias("k"))
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", words(F.col("text")).alias("w")).where("size(w) >= 8")
-    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: run(F.col("w"), i))).alias("k"))
-    met = grams.join(keys, "k").select("doc_id", "item_id", "span").distinct()
-    return met.join(docs.select("doc_id", F.col("text").alias("message")), "doc_id").withColumn("at", fuzzy.locate_udf("span", "message")).where("at.start IS NOT NULL").select("doc_id", "item_id", "message", "at.start", "at.end")
+    """Passages of the benchmark where they stand in documents, exactly or by normalised forms.
+
+    A passage's normalised words but the first and the last, which may be parts of
+    longer words, are whole words of any text that holds it: the first eight of
+    those are a key. Passages of one or two words meet all documents whose
+    normalised form holds theirs.
+    """
+    spans = table(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("span"), fuzzy.match_form_udf("text").alias("wanted"))
+    spans = spans.withColumn("n", F.greatest(F.least(F.lit(8), F.size(F.split("wanted", " ")) - 2), F.lit(0)))
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.col("text").alias("message"))
+    lengths = sorted(r["n"] for r in spans.select("n").distinct().collect())  # 0 to 8
+    met = None
+    if 0 in lengths:
+        forms = docs.select("doc_id", fuzzy.match_form_udf("message").alias("form"))
+        met = forms.join(spans.where("n = 0"), F.col("form").contains(F.col("wanted"))).select("doc_id", "item_id", "span")
+    for n in (n for n in lengths if n):
+        keys = spans.where(F.col("n") == n).select("item_id", "span", F.get(fuzzy.inner_runs_udf("wanted", F.lit(n), F.lit(True)), 0).alias("k"))
+        grams = docs.select("doc_id", F.explode(fuzzy.inner_runs_udf("message", F.lit(n), F.lit(False))).alias("k"))
+        found = grams.join(keys, "k").select("doc_id", "item_id", "span")
+        met = found if met is None else met.unionByName(found)
+    met = spans.join(docs, F.lit(False)).select("doc_id", "item_id", "span") if met is None else met.distinct()
+    return met.join(docs, "doc_id").withColumn("at", fuzzy.locate_udf("span", "message")).where("at.start IS NOT NULL").select("doc_id", "item_id", "message", "at.start", "at.end")
 
 
 @query("span_positions")

@@ -2,10 +2,10 @@
 
 import pytest
 
-from spanloom.functions import segment
+from spanloom.functions import fuzzy, segment
 from spanloom.functions.segment import ParsedToken
 from spanloom.operators import graphs
-from spanloom.plans import flows
+from spanloom.plans import alignment, flows
 
 CHUNK = "pos long, context string, next string, annotations array<struct<text:string,codes:array<string>,start:bigint,end:bigint>>"
 
@@ -67,3 +67,15 @@ def test_dependency_graphs_and_propagation(spark):
     dim = len(x.first()["features"])
     out = {r["id"]: r["features"] for r in graphs.propagated(x, edges, dim, 1).collect()}
     assert sum(out["1"]) == pytest.approx(1) and sorted(v for v in out["1"] if v) == [0.5, 0.5]
+
+
+def test_spans_are_located_by_normalised_words(spark, tmp_path):
+    long = "the quick brown fox jumps over the lazy dog and runs away"
+    spans = [(1, long), (2, "lazy dog, and"), (3, "Dog"), (4, "quick brown"), (5, ""), (6, None), (7, "blue whale sings"), (8, "...")]
+    docs = [(1, "He said: \"The quick, brown fox (jumps) over the lazy dog and runs away.\""), (2, f"see{long}s"), (3, "a blue\nwhale sings"), (4, "underdogs"), (5, None), (6, "")]
+    spark.createDataFrame(spans, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["end"]) for r in alignment._located(spark, str(tmp_path)).collect())
+    want = [(d, i, *at) for d, t in docs for i, s in spans if (at := fuzzy.locate(s, t))]
+    assert got == want
+    assert {(d, i) for d, i, *_ in got} >= {(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (3, 7), (4, 3)}
