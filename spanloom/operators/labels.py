@@ -141,7 +141,9 @@ def alias_hits(raws: DataFrame, rules: DataFrame, raw_col: str = "raw") -> DataF
     distinct = raws.select(F.col(raw_col).alias("raw")).where("raw IS NOT NULL").distinct()
     exact = rules.where("kind = 'exact'").select("target", F.lower("pattern").alias("key"))
     hits = distinct.join(small(exact), F.lower("raw") == F.col("key")).select("target", "raw")
-    patterns = rules.where("kind = 'regex'").limit(BROADCAST_ROWS).collect()
+    patterns = rules.where("kind = 'regex'").limit(BROADCAST_ROWS + 1).collect()
+    if len(patterns) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} regex rules")
     if patterns:
         tests = F.array(*[F.when(F.rlike("raw", F.lit("(?i)" + r["pattern"])), F.lit(r["target"])) for r in patterns])
         hits = hits.unionByName(distinct.select(F.explode(F.array_compact(tests)).alias("target"), "raw"))

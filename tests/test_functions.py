@@ -356,3 +356,12 @@ def test_json_in_free_text():
     assert load("spanloom.functions.segment:plain_tagger")("a b")[1].text == "b"
     with pytest.raises(ValueError):
         load("spanloom.functions.segment:MOST_TOKENS")
+
+
+def test_too_many_regex_rules_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(labels, "BROADCAST_ROWS", 1)
+    rules = frame(spark, [("a", "regex", "x"), ("b", "regex", "y")], "target string, kind string, pattern string")
+    raws = frame(spark, [("x",), ("y",)], "raw string")
+    assert [tuple(r) for r in labels.alias_hits(raws, rules.limit(1)).collect()] == [("a", "x")]
+    with pytest.raises(ValueError):
+        labels.alias_hits(raws, rules)
