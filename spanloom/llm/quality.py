@@ -28,6 +28,8 @@ DIM, NONZERO, WINDOW = 48, 6, 2
 MAX_WORDS, MIN_TEXTS = 40_000, 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 4e-3, 1e-4
 CACHE_WORDS = 150_000
+#: Letters up to which a word is one token, and letters of the pieces that longer ones are cut into: the signs of a shape at most.
+LONG, PIECE = 64, 12
 
 _SIGNS = {code: sign for first, last, sign in (("A", "Z", "A"), ("À", "Ö", "A"), ("Ø", "Þ", "A"), ("a", "z", "a"), ("ß", "ö", "a"), ("ø", "ÿ", "a"), ("0", "9", "0")) for code in range(ord(first), ord(last) + 1)}
 _REPEATS = re.compile(r"(.)\1+").sub
@@ -35,11 +37,11 @@ _REPEATS = re.compile(r"(.)\1+").sub
 
 def shape_of(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each, other signs once for each run."""
-    return _REPEATS(r"\1", word[:64].translate(_SIGNS))[:12]
+    return _REPEATS(r"\1", word.translate(_SIGNS))[:PIECE]
 
 
 def _tokens(text: str | None) -> list[str]:
-    """Words between ASCII blanks; a word that repeats the one before and a line seen before are marked."""
+    """Words between ASCII blanks, long ones in pieces; a word that repeats the one before and a line seen before are marked."""
     out: list[str] = []
     lines: set[str] = set()
     for line in (text or "").split("\n"):
@@ -47,6 +49,8 @@ def _tokens(text: str | None) -> list[str]:
         if words and line in lines:
             out.append("\nline")
         lines.add(line)
+        if len(line) > LONG and max(map(len, words), default=0) > LONG:
+            words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE if len(w) > LONG else len(w))]
         out += words
     return out
 

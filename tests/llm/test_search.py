@@ -228,6 +228,16 @@ def test_vector_edges(spark):
     assert rp_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+# quality
+
+
+def test_long_runs_are_read_to_their_end():
+    shapes, vectors = {"\nother": 0, "A": 1, "a": 2}, np.eye(3)
+    x = quality.pool(["A" * 64 + "a" * 200, "A" * 64, "A" * 264 + " b"], {}, shapes, vectors)[:, 3:6]
+    assert x[0, 2] > 0.5 and x[1].tolist() == [0, 1, 0] and x[2, 1] > 0.9
+    assert "".join(quality._tokens("Ab0-" * 50)) == "Ab0-" * 50
+
+
 # secrets
 
 
