@@ -1,11 +1,12 @@
-"""Shared storage, word counting and connected components for the operators."""
+"""Shared storage, key filters, word counting and connected components for the operators."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,20 @@ from pyspark.sql import functions as F
 
 #: Runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a key filter (8 MB), and of each of its rows (the length that ``bitmap_construct_agg`` fixes).
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+#: Nodes that a partition's components may remember before they are passed on.
+FOREST_NODES = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share. Only a local session may lack one and gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,10 +39,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def clean() -> None:
-    """Delete all that was staged so far; call it when no result that rests on it is needed any more."""
-    while _written:
-        spark, path = _written.pop()
+def _drop(entries: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in entries:
         try:
             if spark.sparkContext._jsc is not None:
                 drop_path(spark, path)
@@ -43,9 +48,34 @@ def clean() -> None:
             return
 
 
+def clean() -> None:
+    """Delete all that was staged so far; call it when no result that rests on it is needed any more."""
+    entries = list(_written)
+    _written.clear()
+    _drop(entries)
+
+
 atexit.register(clean)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those staged by the function that this yields."""
+    at, kept = len(_written), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        kept.append(_written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        own = _written[at:]
+        _written[at:] = kept
+        _drop([entry for entry in own if entry not in kept])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
@@ -64,13 +94,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def flag_keys(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether their ``key`` may be among ``keys`` (a table of one column); surely false where it isn't set.
+
+    A filter of ``FILTER_BITS`` bits, whatever the tables' sizes, goes to the rows,
+    which stay where they lie. A set flag is wrong by chance, as often as the filter
+    is full; what is flagged has to be checked. Null keys are not flagged. As many
+    keys as bits flag nearly all rows: then a check costs what it would without.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1  # noqa: E731  (counted from one, as bitmap functions do)
+    spots = keys.select(F.col(keys.columns[0]).alias("k")).where("k IS NOT NULL").select(place(F.col("k")).alias("p"))
+    bits = spots.groupBy(F.bitmap_bucket_number("p").alias("__row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = F.pmod(place(F.col(key)) - 1, F.lit(ROW_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substr(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.get(F.array(*[F.lit(1 << i) for i in range(8)]), at.bitwiseAND(F.lit(7)))
+    marked = rows.withColumn("__row", F.when(F.col(key).isNotNull(), F.bitmap_bucket_number(place(F.col(key)))))
+    marked = marked.join(F.broadcast(bits), "__row", "left")  # FILTER_BITS / ROW_BITS rows at most
+    return marked.withColumn(flag, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__row", "__bits")
+
+
 def word_count(text: Column) -> Column:
     """Number of ``WORD`` runs; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition's edges as stars of its own components."""
+    """A partition's edges as stars of its own components; passed on whenever ``FOREST_NODES`` are known."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -79,6 +128,12 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = root[x]
         return x
 
+    def stars() -> Iterator[pd.DataFrame]:
+        out = [(x, r) for x in root if (r := find(x)) != x]
+        root.clear()
+        for i in range(0, len(out), 100_000):
+            yield pd.DataFrame(out[i : i + 100_000], columns=["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
             root.setdefault(a, a)
@@ -86,9 +141,9 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    out = [(x, r) for x in root if (r := find(x)) != x]
-    for i in range(0, len(out), 100_000):
-        yield pd.DataFrame(out[i : i + 100_000], columns=["u", "v"])
+        if len(root) > FOREST_NODES:
+            yield from stars()
+    yield from stars()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -101,6 +156,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ignored. A node of many edges is aggregated where they lie, and its joins can
     be split.
     """
+    with scratch() as keep:
+        return _components(edges, keep)
+
+
+def _components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     pairs = stage(edges.where("a <> b").select("a", "b").mapInPandas(_forest, "u long, v long").distinct(), "links")
     found = None
     while not pairs.isEmpty():
@@ -122,5 +182,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             found = found.join(hook.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         pairs = stage(drawn.distinct(), "links")
     if found is None:
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stage(found, "components")
+        found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return keep(found, "components")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import chat, jaccard_join, quality, queries, rp_forest, secrets
-from spanloom.llm.common import connected_components
+from spanloom.llm.common import connected_components, flag_keys
 
 from .helpers import edge_docs, empty_docs
 
@@ -113,16 +113,77 @@ def test_large_cluster_goes_over_several_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CENTRES", 3)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(150)]
-    docs = [(i, " ".join(edited(rng, base, rng.randrange(6)))) for i in range(400)]
+    docs = [(i, " ".join(edited(rng, base[: 100 + i % 50], rng.randrange(6)))) for i in range(400)]
     assert jaccard(as_docs(spark, docs)) == brute_components(docs)
 
 
-def test_common_parts_lose_no_link(spark, monkeypatch):
+def test_hardly_linked_cluster_is_compared_by_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 25)
+    monkeypatch.setattr(jaccard_join, "CENTRES", 1)
+    monkeypatch.setattr(jaccard_join, "FEW", 3)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(90)]
+    docs = [(i, " ".join(edited(rng, base[: 70 + i % 20], rng.randrange(1, 5)))) for i in range(300)]
+    want = brute_components(docs)
+    assert 20 < len({c for _, c in want.values()}) < 290
+    assert jaccard(as_docs(spark, docs)) == want
+
+
+def test_documents_of_one_template_do_not_meet(spark):
+    """Jaccard 0.6 through a shared form: common shingles come last, so that no class has them among its first."""
+    rng = random.Random(12)
+    form = [f"form{i}" for i in range(160)]
+    rows = [(i, " ".join(form + [f"own{rng.randrange(10**9)}" for _ in range(50)])) for i in range(3000)]
+    docs = jaccard_join._read(as_docs(spark, rows), "doc_id", "text")
+    counts = jaccard_join.sketch(jaccard_join.classes(docs, 4))
+    assert counts.sum() == sum(len(t.split()) - 3 for _, t in rows)
+    assert jaccard_join.meetings(docs, counts, 4, 85).count() == 0
+
+
+def test_common_shingles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 2)
     docs = near_copies(8, [8, 15, 30, 70, 90, 150, 300, 800], 12, 0.1)
     assert jaccard(as_docs(spark, docs)) == brute_components(docs)
 
 
+def test_a_full_sketch_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLOTS", 8)
+    docs = near_copies(9, [8, 15, 30, 70, 150, 300], 8, 0.1)
+    assert jaccard(as_docs(spark, docs)) == brute_components(docs)
+
+
+def test_many_sketches_add_up(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FAN", 2)
+    docs = jaccard_join._read(as_docs(spark, near_copies(2, [50, 90], 9, 0.1)).repartition(7), "doc_id", "text")
+    rows = jaccard_join.classes(docs, 4)
+    assert jaccard_join.sketch(rows).sum() == rows.where("n > 0").agg(F.sum("n")).first()[0]
+
+
+def test_words_that_defeat_polynomial_hashes_stay_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    docs = [(1, one), (2, other), (3, f"x {one} y z"), (4, f"x {other} y z"), (5, " ".join([one] * 9)), (6, " ".join([other] * 9)), (7, one)]
+    assert jaccard(as_docs(spark, docs)) == {**brute_components(docs)}
+    assert jaccard(as_docs(spark, docs))[2] == (1, 2) and jaccard(as_docs(spark, docs))[7] == (1, 1)
+
+
+def near_rows(df, **options):
+    return sorted((tuple(r) for r in jaccard_join.drop_near_copies(df, **options).collect()), key=repr)
+
+
+def test_rows_that_repeat_an_id_go_by_their_own_text(spark):
+    rng = random.Random(7)
+    a = [f"a{rng.randrange(10**6)}" for _ in range(80)]
+    copy, other = " ".join([*a[:79], "new"]), " ".join(f"b{rng.randrange(10**6)}" for _ in range(80))
+    df = as_docs(spark, [(3, " ".join(a)), (7, copy), (7, other), (None, copy + " more"), (None, other + " more"), (None, "alone without an id")])
+    assert near_rows(df, words=5, percent=80) == sorted([(3, " ".join(a)), (7, other), (None, "alone without an id")], key=repr)
+    twice = as_docs(spark, [(7, copy), (7, " ".join(a)), (7, copy), (1, ""), (1, ""), (None, None)])
+    kept = near_rows(twice, words=5, percent=80)
+    assert len(kept) == 4 and {t for _, t in kept} - {copy, " ".join(a)} == {"", None}
+    nobody = as_docs(spark, [(None, " ".join(a)), (None, copy)])
+    assert len(near_rows(nobody, words=5, percent=80)) == 1
+
+
 def test_short_copies_with_a_common_start(spark):
     start = "one two three four five six"
     docs = [(1, f"{start} a b"), (2, f"{start} a b c")] + [(i, f"{start} x{i} y{i}") for i in range(10, 60)]
@@ -137,17 +198,19 @@ def test_driver_documents(spark, sf_dir):
     assert jaccard(docs) == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_linked_sets_share_a_signature():
+def test_linked_sets_share_first_shingles():
     rng = np.random.default_rng(5)
     for _ in range(1500):
         n = int(np.exp(rng.uniform(np.log(5), np.log(3000))))
+        counts = rng.integers(0, 3, jaccard_join.SLOTS)
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         d = int(rng.integers(0, max(2, int(0.17 * n))))
         gone = int(rng.integers(0, d + 1))
         b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, d - gone, dtype=np.uint64)]))
-        if jaccard_join._links(a, b, 85):
-            common = set(jaccard_join.signatures(a)) & set(jaccard_join.signatures(b))
-            assert np.array_equal(a, b) or len(common) >= jaccard_join.SHARED, (len(a), len(b))
+        if jaccard_join._links(a, b, 85) and not np.array_equal(a, b):
+            (x, k), (y, m) = (jaccard_join.first_shingles(s, counts) for s in (a, b))
+            assert len(set(x) & set(y)) >= max(k, m), (len(a), len(b))
+            assert jaccard_join._linkable(len(a), 85) and jaccard_join._linkable(len(b), 85)
 
 
 def test_threshold_is_exact(spark):
@@ -167,6 +230,17 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(empty_docs(spark)).count() == 0
     kept = jaccard_join.drop_near_copies(docs)
     assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0 for r in kept.collect())) == [0, 0, 1, 2, 3, 7, 8]  # 6 repeats the words of 3, and of 7 one row is enough
+    assert jaccard_join.drop_near_copies(empty_docs(spark)).count() == 0
+
+
+def test_keys_that_may_be_there(spark):
+    rows = spark.range(20000).withColumn("key", F.when(F.col("id") % 7 != 0, F.col("id") * 1_000_003))
+    keys = spark.range(0, 20000, 10).select((F.col("id") * 1_000_003).alias("k"))
+    got = {r["id"]: r["flag"] for r in flag_keys(rows, "key", keys, "flag").collect()}
+    assert len(got) == 20000 and all(got[i] for i in range(0, 20000, 10) if i % 7) and not any(got[i] for i in range(0, 20000, 7))
+    assert sum(got.values()) < 2000
+    assert not flag_keys(rows, "key", keys.limit(0), "flag").where("flag").count()
 
 
 # embeddings
