@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import flag_keys, stage
 
 #: Bytes of the first digit, and by how much each next digit is longer.
-FIRST, FACTOR = 64, 8
+FIRST, FACTOR = 64, 16
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = FIRST, factor: int = FACTOR, payload: list[str] | None = None) -> DataFrame:
@@ -29,22 +29,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their names. Very long texts only cost more digits. ``payload`` names further
     columns of ``docs`` to carry through, as ``x_<name>``.
 
-    Only copies cross the network beyond the first digit, one digit at a time
-    and without the rest of their texts; the many rows of a hot group are counted
-    where they lie before any shuffle, and its join is one that can be split.
+    A filter clears rows whose first digit nobody shares where they lie; only the
+    others' texts are written down, and cross the network one digit at a time as
+    long as they are shared. The many rows of a hot group are counted where they
+    lie before any shuffle, and its joins are such as can be split.
     """
     extra = [F.col(c).alias(f"x_{c}") for c in payload or []]
     names = [f"x_{c}" for c in payload or []]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *extra)
     base = base.withColumns({"n": F.octet_length("t").cast("long"), "digit": _digit(0, first)})
-    many = base.groupBy("n", "digit").agg(F.count("*").alias("c")).where("c > 1").select("n", "digit", F.lit(True).alias("open"))
-    rows = base.join(stage(many, "radix-first").hint("merge"), ["n", "digit"], "left")
-    rows = rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "n", F.coalesce("open", F.lit(False)).alias("open"),
-        F.sha2("t", 256).alias("text_sha256"), F.when(F.col("open"), F.col("t")).alias("t"), *names,
-    )
-    rows = stage(rows, "radix-rows")
-    live = rows.where("open").select("row", "doc_id", "n", "t")
+    many = base.groupBy("n", "digit").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("n", "digit").alias("g"))
+    base = flag_keys(base.withColumn("g", F.xxhash64("n", "digit")), "g", stage(many, "radix-first"), "open")
+    digest = F.sha2("t", 256).alias("text_sha256")
+    alone = base.where("NOT open").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest, *names)
+    rows = stage(base.where("open").select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "t", digest, *names), "radix-rows")
+    live = rows.select("row", "doc_id", "n", "t")
 
     done, at, width = [], 0, first
     level = live.select("row", "doc_id", "n", F.col("n").alias("node"), _digit(0, first).alias("digit"))
@@ -63,11 +62,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ended = reduce(DataFrame.unionByName, done)
     first_row = ended.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("node").agg(F.min("row").alias("keep_row"))
     ended = ended.join(stage(first_row, "radix-kept"), "node").select("row", "keep_id", F.col("c").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"))
-    alone = F.col("group_size").isNull()
-    return rows.drop("t").join(ended.hint("merge"), "row", "left").select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+    single = F.col("group_size").isNull()
+    met = rows.drop("t").join(ended.hint("merge"), "row", "left").select(
+        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce("kept", F.lit(True)).alias("kept"), "text_sha256", *names,
     )
+    return alone.unionByName(met)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,11 @@
 """Secret scans over a block-wise trigram inverted index, with DataFrame functions only.
 
 Each rule's regex is parsed on the driver into a Boolean query over the trigrams
-that any match must hold. An index row is a block of documents with a posting
-list per trigram asked for; queries intersect and unite posting lists, and the
-regex then verifies the candidates' whole texts. Rules without mandatory
-trigrams scan every text.
+that any match must hold. One pass finds those that a text holds. An index row is
+a block of neighbouring documents with a posting list per trigram asked for;
+queries intersect and unite posting lists, and the regex then verifies the
+candidates' whole texts where they lie. Rules without mandatory trigrams scan
+every text.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import flag_keys, stage
 
-#: Documents in a block of the index, on average.
-BLOCK_ROWS = 2048
+#: A block of the index has 2 to this power rows of a partition at most.
+BLOCK_BITS = 11
 #: Strings that a run of literals and small classes may stand for before it is cut.
 MOST_STRINGS = 64
 
@@ -127,36 +128,40 @@ def _chars(op, arg) -> set[str] | None:
     return {""} if op is sre.AT else None
 
 
-def _position(trigrams: list[str], low: Column) -> Column:
-    """Bits of the trigrams that a text holds."""
-    bits = [F.shiftleft(F.contains(low, F.lit(t)).cast("long"), i) for i, t in enumerate(trigrams)]
-    return reduce(Column.bitwiseOR, bits, F.lit(0).cast("long"))
+def _quoted(c: str) -> str:
+    return "\\" + c if c.isascii() and not c.isalnum() and c != "_" else c
 
 
-def build_index(rows: DataFrame, trigrams: list[str], blocks: int) -> DataFrame:
-    """A row for each block: one sorted posting list of keys for each trigram, as columns p0, p1, ..."""
-    words = [trigrams[i : i + 60] for i in range(0, len(trigrams), 60)]
-    held = rows.select("key", *[_position(w, F.lower("t")).alias(f"m{i}") for i, w in enumerate(words)])
-    held = held.where(reduce(Column.__or__, [F.col(f"m{i}") != 0 for i in range(len(words))]))
-    lists = [F.collect_set(F.when(F.col(f"m{i // 60}").bitwiseAND(F.lit(1 << (i % 60))) != 0, F.col("key"))).alias(f"p{i}") for i in range(len(trigrams))]
-    return held.groupBy(F.pmod("key", F.lit(blocks)).alias("block")).agg(*lists)
+def _alternatives(trigrams: list[str]) -> str:
+    """A pattern for any of the trigrams that tries common beginnings once."""
+    parts = []
+    for head in sorted({t[0] for t in trigrams}):
+        tails = sorted({t[1:] for t in trigrams if t[0] == head})
+        parts.append(_quoted(head) + (_alternatives(tails) if tails != [""] else ""))
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+def _overlapping(trigrams: list[str]) -> str:
+    """A pattern that matches at each place where a trigram stands, its group 1; most places fail by classes of characters."""
+    classes = ["[" + "".join(_quoted(c) for c in sorted({t[i] for t in trigrams})) + "]" for i in range(3)]
+    return f"(?={''.join(classes)})(?=({_alternatives(trigrams)}))"
+
+
+def build_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """A row for each block of neighbouring rows: a posting list of keys for each trigram, as columns p0, p1, ..."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_overlapping(trigrams)), F.lit(1)))
+    held = rows.select("key", held.alias("held"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block")).where(F.size("held") > 0)
+    lists = [F.collect_set(F.when(F.array_contains("held", t), F.col("key"))).alias(f"p{i}") for i, t in enumerate(trigrams)]
+    return held.groupBy("block").agg(*lists)
 
 
 def search(index: DataFrame, trigrams: list[str], queries: dict[int, Query]) -> DataFrame:
-    """(key, rules): for each candidate the bits of the rules whose query it meets."""
+    """key of each candidate of any rule."""
     posting = {t: F.col(f"p{i}") for i, t in enumerate(trigrams)}
     both = lambda xs: reduce(F.array_intersect, xs)
     either = lambda xs: reduce(F.array_union, xs)
-    found = []
-    for bit, query in queries.items():
-        keys = both([either([both([posting[t] for t in sorted(s)]) for s in clause]) for clause in query])
-        found.append(F.transform(keys, _hit(bit)))
-    hits = index.select(F.explode(F.concat(*found)).alias("hit")).select("hit.key", "hit.rule")
-    return hits.groupBy("key").agg(F.bit_or("rule").alias("rules"))
-
-
-def _hit(bit: int):
-    return lambda k: F.struct(k.alias("key"), F.lit(1 << bit).cast("long").alias("rule"))
+    found = [both([either([both([posting[t] for t in sorted(s)]) for s in clause]) for clause in query]) for query in queries.values()]
+    return index.select(F.explode(either(found)).alias("key"))
 
 
 def _of_kind(i: int):
@@ -185,23 +190,20 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, id_col: str = "d
 
     ``kind`` is the rule's number. Null texts are empty and have no spans; null
     and repeated ids are scanned like any other. An empty table gives no rows;
-    other columns are ignored. A text's key may collide with another's: that only
-    adds a candidate, which the regex then rejects. Texts meet their candidate
-    rules in a join that can be split; the index holds keys, not texts.
+    other columns are ignored. A text's key may collide with another's, and the
+    filter that marks candidates may mark others: that only adds a candidate,
+    which the regex then rejects. The index holds keys; texts stay where they are.
     """
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for clause in q for s in clause for t in s})
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "t"))
     if queries:
-        blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-        index = stage(build_index(rows, trigrams, blocks), "secret-index")
-        rows = rows.join(stage(search(index, trigrams, queries), "secret-candidates").hint("merge"), "key", "left")
-    else:
-        rows = rows.withColumn("rules", F.lit(None).cast("long"))
+        candidates = search(build_index(rows, trigrams), trigrams, queries)
+        rows = flag_keys(rows, "key", stage(candidates, "secret-candidates"), "asked")
     named = []
     for i, rule in enumerate(rules):
-        asked = F.col("rules").bitwiseAND(F.lit(1 << i)) != 0 if i in queries else F.lit(True)
+        asked = F.col("asked") if i in queries else F.lit(True)
         spans = F.when(asked & F.rlike(F.col("t"), F.lit(rule.pattern)), _spans(rule, F.col("t")))
         named.append(F.transform(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")), _of_kind(i)))
     return rows.select("doc_id", F.array_sort(F.concat(*named)).alias("found"))
