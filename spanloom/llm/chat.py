@@ -35,12 +35,22 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("tokens")))
 
 
-def visit(part: Column) -> Column:
-    """What a part is in the output; parts of unknown kinds count as documents, null texts as empty."""
-    out = F.when(part["kind"] == "text", escape(F.coalesce(part["text"], F.lit(""))))
-    for kind, mark in PLACEHOLDERS.items():
-        out = out.when(part["kind"] == kind, F.lit(mark))
-    return out.otherwise(F.lit(PLACEHOLDERS["document"]))
+def visit(parts: Column) -> Column:
+    """What parts are in the output; those of unknown kinds count as documents, null texts as empty.
+
+    Neighbouring texts are one text before they are escaped, as a control string may begin in one and end in another.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+
+    def step(acc: Column, part: Column) -> Column:
+        mark = F.lit(PLACEHOLDERS["document"])
+        for kind, own in PLACEHOLDERS.items():
+            mark = F.when(part["kind"] == kind, F.lit(own)).otherwise(mark)
+        more = F.struct(acc["done"].alias("done"), F.concat(acc["text"], F.coalesce(part["text"], F.lit(""))).alias("text"))
+        other = F.struct(F.concat(acc["done"], escape(acc["text"]), mark).alias("done"), F.lit("").alias("text"))
+        return F.when(part["kind"] == "text", more).otherwise(other)
+
+    return F.aggregate(parts, start, step, lambda acc: F.concat(acc["done"], escape(acc["text"])))
 
 
 def format_turns(turns: DataFrame, learn: str = "assistant", text_tokens=None) -> DataFrame:
@@ -57,7 +67,7 @@ def format_turns(turns: DataFrame, learn: str = "assistant", text_tokens=None) -
     are ignored.
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-    body = F.array_join(F.transform(parts, visit), "")
+    body = visit(parts)
     held = F.filter(parts, lambda p: F.coalesce(p["kind"], F.lit("")) != "text")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), body.alias("body"), held.alias("held"))
     count = F.lit(0).cast("long") if text_tokens is None else text_tokens(F.col("body")).cast("long")

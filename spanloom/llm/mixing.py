@@ -50,8 +50,8 @@ def plan(docs: DataFrame, weigh: Callable[[list], list], *, share: float = 1.0,
 
     A document is repeated ``whole`` times, and once more if its draw is at most
     ``limit``: the sum of those fractional repetitions comes within half a
-    document of what the source still needs. Sums run over buckets of draws
-    first, so that a source of any size is cut within one bucket of 4096.
+    document of what the source still needs, and there are none where it needs
+    nothing more. Sums run over buckets of draws first, so that a source of any size is cut within one bucket of 4096.
     """
     spark = docs.sparkSession
     docs = docs.select(
@@ -72,7 +72,7 @@ def plan(docs: DataFrame, weigh: Callable[[list], list], *, share: float = 1.0,
     sums = docs.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("in_bucket"))
     before = F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     cut = sums.withColumn("before", F.coalesce(before, F.lit(0)))
-    cut = cut.join(sources.select(F.col("source").alias("s2"), "need"), F.col("source").eqNullSafe(F.col("s2"))).where("before <= need and need <= before + in_bucket")
+    cut = cut.join(sources.select(F.col("source").alias("s2"), "need"), F.col("source").eqNullSafe(F.col("s2"))).where("need > 0 and before <= need and need <= before + in_bucket")  # a source at its cap needs none
     cut = stage(cut.groupBy("source").agg(F.max(F.struct("bucket", "before", "need")).alias("c")).select(F.col("source").alias("s2"), F.col("c.bucket").alias("b2"), "c.before", "c.need"), "mix-cut")
     inside = docs.withColumn("bucket", bucket).join(cut, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
     inside = inside.groupBy("source", "u").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("need").alias("need"))

@@ -216,7 +216,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ahead = F.sum("c").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = stage(sums.select("length", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead")), "pack-ranks")
     own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    rows = rows.withColumn("rn", own).join(sums, ["length", "bucket"])
+    rows = rows.withColumn("rn", own).join(sums.hint("merge"), ["length", "bucket"])  # dealt alike already
     rows = rows.withColumn("p", place("length", F.col("ahead") + F.col("rn") - 1))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "p.sequence_id", "p.offset")
 

@@ -117,7 +117,7 @@ g AS (SELECT source, u, sum(size) AS size FROM d GROUP BY source, u),
 c AS (SELECT g.source, u, g.size, target - whole * s AS need,
              coalesce(sum(g.size) OVER (PARTITION BY g.source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM g JOIN n ON g.source IS NOT DISTINCT FROM n.source),
-x AS (SELECT source, max(u) AS top FROM c WHERE before + size / 2 <= need GROUP BY source)
+x AS (SELECT source, max(u) AS top FROM c WHERE need > 0 AND before + size / 2 <= need GROUP BY source)
 SELECT d.doc_id, d.size, n.s AS source_size, n.target,
        d.size * (n.whole + CASE WHEN d.u <= coalesce(x.top, -1) THEN 1 ELSE 0 END) AS taken
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source

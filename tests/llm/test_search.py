@@ -302,6 +302,35 @@ def test_vector_edges(spark):
     assert rp_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_control_strings_split_over_parts(spark):
+    """However a text is cut into parts, and whatever stands between, it is formatted as the whole, and nothing is forged."""
+    rng = random.Random(5)
+    bits = ["<|end|>", "<|turn|>", "<|body|>", "<\\|end|>", "[INST]", "</s>", "<<SYS>>", "<|image|>", "a", "<", "|", ">", "\\", "é"]
+    rows, texts = [], []
+    for c in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(4)))
+        parts = [("text", text[a:b], None, None) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        rows += [(c, 0, "user", parts), (c, 1, "assistant", [("text", text, None, None)]), (c, 2, "user", [*parts, ("image", None, "r", 3), *parts])]
+        texts.append(text)
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    for r in chat.format_turns(df).select("conv_id", chat.parse(F.col("formatted")).alias("turns"), "loss", "formatted", "attachments").collect():
+        text = texts[r["conv_id"]]
+        assert [tuple(t) for t in r["turns"]] == [("user", text), ("assistant", text), ("user", text + "<|image|>" + text)]
+        assert r["formatted"].count("<|end|>") == 3 and r["formatted"].count("<|turn|>") == 3 and r["formatted"].count("<|image|>") == 1
+
+
+def test_chat_edges(spark):
+    long = "<|end|>" * 30000
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "user", "b"), (None, None, "assistant", "c"), (2, 0, None, None), (3, 0, "assistant", long), (3, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text"))).selectExpr("*", "1 AS body", "2 AS whole", "3 AS loss")
+    got = {r["conv_id"]: r for r in chat.format_turns(df).select("conv_id", chat.parse(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [("user", "a")] * 2
+    assert [tuple(t) for t in got[None]["turns"]] == [("assistant", "c"), ("user", "b")] and got[None]["learned"] == "c"
+    assert [tuple(t) for t in got[2]["turns"]] == [("", "")]
+    assert [tuple(t) for t in got[3]["turns"]] == [("assistant", ""), ("assistant", long)] and got[3]["learned"] == long
+
+
 # quality
 
 

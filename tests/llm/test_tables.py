@@ -1,6 +1,8 @@
 """Mixing, packing, sharding, WARC and exact dedup against brute force."""
 
+import gzip
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -67,6 +69,15 @@ def test_mix_edges(spark):
     assert copies.count() == sum(r["repeats"] for r in rows)
 
 
+def test_capped_sources_take_no_fourth_copy(spark):
+    rows = [(i, "" if i % 2 else "one two three", "small") for i in range(40)] + [(100 + i, "w " * 500, "large") for i in range(40)] + [(200 + i, None, "none") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in mixing.mix(docs, lambda sources: [1000 if s == "small" else 1 for s in sources]).collect()}
+    assert {r["repeats"] for i, r in found.items() if i < 40} == {3} and max(r["repeats"] for r in found.values()) == 3
+    copies = Counter(r["doc_id"] for r in mixing.mixed_rows(docs, lambda sources: [1000 if s == "small" else 1 for s in sources]).collect())
+    assert copies == Counter({i: r["repeats"] for i, r in found.items() if r["repeats"]})
+
+
 # packing
 
 
@@ -156,6 +167,13 @@ def test_hot_text_is_split_by_id(spark):
     assert Counter(map(tuple, found)) == Counter(map(tuple, sharding.shard(docs.repartition(5), 10).collect()))
 
 
+def test_rows_that_repeat_id_and_text_are_dealt_to_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    rows = [(7 if i % 3 else i, "same" if i % 3 else f"text {i}") for i in range(3000)] + [(None, "same")] * 200 + [(None, "x" * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_shards(sharding.shard(docs, 5).collect(), docs.collect(), 5)
+
+
 def test_shard_edges(spark):
     docs = edge_docs(spark)
     check_shards(sharding.shard(docs, 3).collect(), docs.collect(), 3)
@@ -165,45 +183,81 @@ def test_shard_edges(spark):
 # WARC
 
 
+def arc_file(version, records):
+    """Records of (line without its length, block) as a file of that version."""
+    block = f"{version} 0 x\n{warc.ARC_FIELDS[version]}\n".encode()
+    blank = b"" if version == "1" else b" 200 - - 0 x"
+    out = b"filedesc://x 0.0.0.0 20200101000000 text/plain%s %d\n%s\n" % (blank, len(block), block)
+    return out + b"".join(b"%s %d\n%s\n" % (line, len(body), body) for line, body in records)
+
+
 def test_arc_versions_and_lengths():
-    one = b"1 0 x\n" + warc.ARC_FIELDS["1"].encode() + b"\n"
-    two = b"2 0 x\n" + warc.ARC_FIELDS["2"].encode() + b"\n"
-    data = b"filedesc://a 0.0.0.0 20200101000000 text/plain %d\n%s\n" % (len(one), one)
-    data += b"http://a 1.2.3.4 20200102030405 text/html 9\nab\n\ncd\r\n\n\n"
-    data += b"filedesc://b 0.0.0.0 20200101000000 text/plain 200 - - 0 b %d\n%s\n" % (len(two), two)
-    data += b"http://b 1.2.3.4 20200102030405 text/html 200 - - 0 b 0\n\n"
+    data = arc_file("1", [(b"http://a 1.2.3.4 20200102030405 text/html", b"ab\n\ncd\r\n\n")]) + arc_file("2", [(b"http://b 1.2.3.4 20200102030405 text/html 200 - - 0 b", b"")])
     found = list(warc.parse_arc(data))
-    assert [(u, i, c) for u, _, _, _, i, c in found if not i] == [("http://a", False, b"ab\n\ncd\r\n\n"), ("http://b", False, b"")]
+    assert [(u, c) for _, u, _, _, _, i, c in found if not i] == [("http://a", b"ab\n\ncd\r\n\n"), ("http://b", b"")]
+    assert all(data[at:].startswith((b"filedesc", b"http")) for at, *_ in found)
+    odd = arc_file("1", [(b"http://a b/\xe9\xc3\xa9 1.2.3.4 1999 text/html", b"x")])
+    assert [u for _, u, *_, i, _ in warc.parse_arc(odd) if not i] == ["http://a%20b/%E9é"]
+    assert [warc.stamp(d) for d in ("19990102030405", "199901", "1999", "x", "")] == ["1999-01-02T03:04:05Z", "1999-01-01T00:00:00Z", "1999-01-01T00:00:00Z", "1970-01-01T00:00:00Z", "1970-01-01T00:00:00Z"]
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://a no length\n"))
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"filedesc://a 0 2020 text/plain 2\n9 \n"))
 
 
-def test_records_of_other_kinds(spark, tmp_path):
-    block = b"2 0 x\n" + warc.ARC_FIELDS["2"].encode() + b"\n"
-    body = b"<p>hello</p>" * 100
-    page = b"HTTP/1.1 200 OK\r\nX-Record-Key: 5\r\nContent-Length: %d\r\n\r\n%s" % (len(body), body)
-    data = b"filedesc://b 0.0.0.0 20200101000000 text/plain 200 - - 0 b %d\n%s\n" % (len(block), block)
-    data += b"dns:example.org 1.2.3.4 20200102030405 text/dns 200 - - 0 b %d\n%s\n" % (len(body), body)
-    data += b"http://b 1.2.3.4 20200102030405 text/html 200 - - 0 b %d\n%s\n" % (len(page), page)
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_foreign_archives_go_byte_for_byte(spark, tmp_path, version):
+    """Latin-1, image, gzip and random payloads without the key header, copies among them."""
+    rng = random.Random(3)
+    blank = b"" if version == "1" else b" 200 - - 0 x"
+    latin, image, zipped = "<p>caf\xe9</p>".encode("latin-1") * 200, bytes(range(256)) * 20, gzip.compress(bytes(rng.randbytes(5000)), mtime=0)
+    bodies = [latin, image, zipped, image, b"", b"\r\n\r\n", b"WARC/1.1\r\n", *(rng.randbytes(rng.randrange(3000)) for _ in range(30)), zipped]
+    head = b"HTTP/1.1 200 OK\r\nX-Name: caf\xe9\r\nContent-Type: text/html"
+    records = [(b"http://h/%d 1.2.3.4 20200102030405 text/html%s" % (i, blank), head + b"\r\n\r\n" + b) for i, b in enumerate(bodies)]
+    records.append((b"dns:example.org 1.2.3.4 20200102030405 text/dns%s" % blank, latin))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "x.arc").write_bytes(data)
-    warc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
-    rows = {r["uri"]: r for r in warc.read_warc(spark, str(tmp_path / "out")).collect()}
-    assert rows["dns:example.org"]["type"] == "resource" and rows["dns:example.org"]["bytes"] == len(body)
-    assert rows["http://b"]["type"] == "response" and rows["http://b"]["key"] == 5 and rows["http://b"]["date"] == "2020-01-02T03:04:05Z"
+    (tmp_path / "in" / "x.arc").write_bytes(arc_file(version, records))
+    (tmp_path / "in" / "y.arc.gz").write_bytes(gzip.compress(arc_file(version, records[:3])))
+    warc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), archive_bytes=4000)
+    rows = warc.read_warc(spark, str(tmp_path / "out"), payloads=True).collect()
+    assert len(rows) == len(records) + 3 and len({r["id"] for r in rows}) == len(rows)
+    by_id = {r["id"]: r for r in rows}
+    for r in rows:
+        want = latin if r["uri"] == "dns:example.org" else bodies[int(r["uri"].rsplit("/", 1)[1])]
+        assert (r["bytes"], r["digest"], r["date"]) == (len(want), hashlib.sha1(want).hexdigest(), "2020-01-02T03:04:05Z")
+        if r["type"] == "revisit":
+            assert r["payload"] is None and bytes(by_id[r["refers_to_id"]]["payload"]) == want and len(want) >= 1000
+        else:
+            assert bytes(r["payload"]) == want
+    kinds = Counter((r["type"], r["digest"]) for r in rows)
+    assert kinds["resource", hashlib.sha1(latin).hexdigest()] == 1
+    for big, n in ((latin, 2), (image, 3), (zipped, 3)):
+        assert kinds["response", hashlib.sha1(big).hexdigest()] == 1 and kinds["revisit", hashlib.sha1(big).hexdigest()] == n - 1
+    heads = warc.read_arc(spark, str(tmp_path / "in")).where("octet_length(head) > 0").select("head").distinct().collect()
+    assert [bytes(r["head"]) for r in heads] == [head]
+
+
+def test_archives_stay_small(spark, tmp_path):
+    """A run of large pages makes many files, not one."""
+    rows = [(2**60 + i, f"http://{i}", "x" * (200_000 if i < 20 else 10)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(pages, str(tmp_path / "a"), archive_bytes=500_000)
+    assert len(list((tmp_path / "a").glob("part-*"))) >= 7
+    warc.convert(spark, str(tmp_path / "a"), str(tmp_path / "w"), archive_bytes=500_000)
+    found = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(r["key"] for r in found) == [2**60 + i for i in range(300)]
+    assert {r["refers_to"] for r in found if r["type"] == "revisit"} == {2**60 + 19}
 
 
 def test_pages_make_the_trip(spark):
     big = "<p>ü\r\n\r\nWARC/1.1\r\n</p>" * 80
-    rows = [(1, "http://a b", big), (2, None, big), (9, "http://c", big), (3, "http://d", ""), (4, "", None), (5, "http://e", "small"), (6, "http://f", "small"), (None, "http://g", "none"), (7, "x", "r"), (7, "x", "r")]
+    rows = [(1, "http://a b", big), (2, None, big), (9, "http://c", big), (3, "http://d", ""), (4, "", None), (5, "http://e", "small"), (6, "http://f", "small"), (None, "http://g", "none"), (7, "x", "r"), (7, "x", "r"), (8, "y", big + "8"), (8, "y", big + "8")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS value")
     found = warc.convert_pages(pages).collect()
     got = Counter((r["key"], r["bytes"], r["digest"], r["type"], r["refers_to"]) for r in found)
     sha = lambda t: (len((t or "").encode()), hashlib.sha1((t or "").encode()).hexdigest())
-    want = Counter((i, *sha(t), "revisit" if i in (1, 2) else "response", 9 if i in (1, 2) else None) for i, _, t in rows)
-    assert got == want
+    want = Counter((i, *sha(t), "revisit" if i in (1, 2) else "response", 9 if i in (1, 2) else None) for i, _, t in rows[:-1])
+    assert got == want + Counter([(8, *sha(big + "8"), "revisit", 8)])  # of rows that repeat an id and a payload, one is the response
     assert {r["uri"] for r in found if r["key"] == 1} == {"http://a%20b"}
     assert warc.convert_pages(pages.limit(0)).count() == 0
 
