@@ -5,8 +5,10 @@ where the sample is dense, are compared exactly with all vectors that could link
 with them (angles add up, so these lie within twice the link's angle of the
 pivot), in bounded tiles. The others go down trees: each splits by random
 directions at the middle of a fitted sample, and rows near a split go down both
-sides. Trees differ in their directions; vectors are compared within leaves,
-verified in double precision, and united.
+sides, until leaves are small. The first levels are fitted on one sample of the
+table; nodes that are still large are fitted again, each on its own sample, as
+deep as it takes. Trees differ in their directions; vectors are compared within
+leaves, verified in double precision, and united.
 """
 
 from __future__ import annotations
@@ -19,17 +21,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage
+from .common import connected_components, scratch, stage
 
 #: Trees, vectors in a leaf, and the share of a node's rows on each side of a split that go down both sides.
-TREES, LEAF, SPILL = 8, 2000, 0.07
-#: Vectors that splits are fitted on at most, and how many of them a leaf should have.
-MAX_SAMPLE, LEAF_SAMPLE = 200_000, 32
+TREES, LEAF, SPILL = 8, 128, 0.07
+#: Vectors that the first splits are fitted on at most, and how many of them a leaf should have.
+MAX_SAMPLE, LEAF_SAMPLE = 50_000, 32
+#: Levels that a large node is fitted again for at once, its rows that one task deals, and rounds without which it is compared in blocks.
+MORE_LEVELS, DEALT, ROUNDS = 7, 20_000, 12
 #: Others of the sample that a pivot homes at least, and vectors on each side of a tile.
 DENSE, TILE = 4, 4000
 
 
-def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
+def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, spill: float = SPILL) -> list[tuple[np.ndarray, float, float]]:
     """Splits of a tree in heap order: direction, and the values up to which left and from which right is taken."""
     splits, nodes = [], [sample]
     for _ in range(depth):
@@ -38,7 +42,7 @@ def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple
             direction = rng.normal(size=sample.shape[1])
             direction /= np.linalg.norm(direction)
             at = rows @ direction
-            low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL]) if len(at) else (0.0, 0.0)
+            low, high = np.quantile(at, [0.5 - spill, 0.5 + spill]) if len(at) else (0.0, 0.0)
             splits.append((direction, float(low), float(high)))
             below += [rows[at <= high], rows[at >= low]]
         nodes = below
@@ -61,27 +65,32 @@ def descend(x: np.ndarray, splits: list, depth: int) -> tuple[np.ndarray, np.nda
     return row, node
 
 
-def leaf_pairs(x: np.ndarray, threshold: float, rng: np.random.Generator | None = None) -> np.ndarray:
-    """Pairs (i, j), i < j, of unit rows at ``threshold`` or more: all of them, in blocks; ``rng`` is not used."""
-    found = []
+def leaf_pairs(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (i, j), i < j, of rows whose cosine is ``threshold`` or more, in blocks; near the threshold in plain double precision."""
+    unit, found = _unit(x), []
     for lo in range(0, len(x), 1000):
-        i, j = np.nonzero(x[lo : lo + 1000] @ x[lo:].T >= threshold - 1e-9)
-        found.append(np.stack([i, j], 1)[i < j] + lo)
+        i, j = np.nonzero(unit[lo : lo + 1000] @ unit[lo:].T >= threshold - 1e-9)
+        i, j = i[i < j] + lo, j[i < j] + lo
+        found += [np.stack([i[k : k + 50_000], j[k : k + 50_000]], 1)[_cosines(x[i[k : k + 50_000]], x[j[k : k + 50_000]]) >= threshold] for k in range(0, len(i), 50_000)]
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def dense_pivots(sample: np.ndarray, threshold: float) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def dense_pivots(sample: np.ndarray, threshold: float, dense: int = DENSE) -> np.ndarray:
     """Rows of the sample such that few others reach ``threshold`` with any row that reaches it with none of them."""
-    counts = np.zeros(len(sample), np.int64)
-    for lo in range(0, len(sample), 500):
-        counts[lo : lo + 500] = (sample[lo : lo + 500] @ sample.T >= threshold).sum(1) - 1
+    counts, step = np.zeros(len(sample), np.int64), max(1, (1 << 23) // max(1, len(sample)))
+    for lo in range(0, len(sample), step):
+        counts[lo : lo + step] = (sample[lo : lo + step] @ sample.T >= threshold).sum(1) - 1
     free, pivots = np.ones(len(sample), bool), []
     for i in np.argsort(-counts, kind="stable"):
-        if counts[i] < DENSE:
+        if counts[i] < dense:
             break
         if free[i]:
             own = free & (sample @ sample[i] >= threshold)
-            if own.sum() > DENSE:
+            if own.sum() > dense:
                 pivots.append(i)
                 free &= ~own
     return sample[pivots]
@@ -124,13 +133,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
     Vectors that are null, empty, zero or hold a null or a non-finite number link
     with nothing, as do those of different lengths with each other and rows
     without an id (whose component is null and which are not kept). Equal vectors
-    are one class: it is compared once, and counts as often as it occurs. A table
-    of up to ``leaf`` classes is compared exactly. An empty table gives no rows;
-    other columns are ignored.
-
-    Pivots and splits are fitted on a seeded sample of at most ``MAX_SAMPLE``
-    vectors. All links of vectors that a pivot homes are found; every other vector
-    goes down every tree, and links between those can be missed.
+    are one class: it is compared once, and counts as often as it occurs. An empty
+    table gives no rows; other columns are ignored.
+
+    Pivots and the first splits are fitted on a seeded sample of at most
+    ``MAX_SAMPLE`` vectors. All links of vectors that a pivot homes are found;
+    every other vector goes down every tree to its leaves, at any size of the
+    table, and links between those can be missed: a pair at the threshold stays
+    together in 95.6 % of a tree's splits, so that eight trees of 20 levels keep 98 %.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -139,25 +149,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
     rows = rows.withColumn("v", F.when(able, F.col("v")))
     groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("many"))
     groups = stage(groups, "forest-classes")
-    links = counts = None
-    for dim, n in ((r["d"], r["n"]) for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
-        own, more = _links(groups.where(F.size("v") == dim), dim, n, threshold, trees, leaf, seed)
-        links = own if links is None else links.unionByName(own)
-        if more is not None:
-            counts = more if counts is None else counts.unionByName(more)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    links = stage(links.distinct(), "forest-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    many = groups.select(F.col("c").alias("b"), "many")
-    linked = both.join(many, "b").select(F.col("a").alias("c"), F.col("many").alias("others"))
-    if counts is not None:
-        linked = linked.unionByName(counts.where("b IS NULL").select(F.col("a").alias("c"), F.col("n").alias("others")))
-        links = links.unionByName(counts.where("b IS NOT NULL").select("a", "b"))
-    component = connected_components(links).select(F.col("node").alias("c"), "component")
-    linked = linked.groupBy("c").agg(F.sum("others").alias("others"))
-    info = groups.join(component, "c", "left").join(linked, "c", "left")
-    info = stage(info.select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links")), "forest-info")
+    with scratch() as keep:
+        links = counts = None
+        for dim, n in ((r["d"], r["n"]) for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
+            own, more = _links(groups.where(F.size("v") == dim), dim, n, threshold, trees, leaf, seed)
+            links = own if links is None else links.unionByName(own)
+            if more is not None:
+                counts = more if counts is None else counts.unionByName(more)
+        if links is None:
+            links = spark.createDataFrame([], "a long, b long, many_a long, many_b long")
+        links = stage(links.distinct(), "forest-links")
+        linked = links.select(F.col("a").alias("c"), F.col("many_b").alias("others")).unionByName(links.select(F.col("b").alias("c"), F.col("many_a").alias("others")))
+        links = links.select("a", "b")
+        if counts is not None:
+            linked = linked.unionByName(counts.where("b IS NULL").select(F.col("a").alias("c"), F.col("n").alias("others")))
+            links = links.unionByName(counts.where("b IS NOT NULL").select("a", "b"))
+        component = connected_components(links).select(F.col("node").alias("c"), "component")
+        linked = linked.groupBy("c").agg(F.sum("others").alias("others"))
+        info = groups.join(component, "c", "left").join(linked, "c", "left")
+        info = keep(info.select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links")), "forest-info")
     out = rows.join(info.hint("merge"), "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
@@ -200,44 +210,135 @@ def _tiled(homed: DataFrame, dim: int, threshold: float) -> DataFrame:
     return rows.unionByName(columns).groupBy("p", "i", "j").applyInPandas(compare, "a long, b long, n long")
 
 
+def _levels(n: int, leaf: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, n / leaf))))
+
+
 def _links(groups: DataFrame, dim: int, n: int, threshold: float, trees: int, leaf: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b) found by trees, and what ``_tiled`` finds, if anything is dense."""
+    """(a, b, many_a, many_b) found by trees, and what ``_tiled`` finds, if anything is dense."""
     spark = groups.sparkSession
-    deep = lambda n: min(max(0, math.ceil(math.log2(max(1, n / leaf)))), int(math.log2(MAX_SAMPLE / LEAF_SAMPLE)))
-    depth = deep(n)
-    wanted = min(MAX_SAMPLE, LEAF_SAMPLE << depth)
+    most = max(1, int(math.log2(MAX_SAMPLE / LEAF_SAMPLE)))
+    depth = min(_levels(n, leaf), most)
+    share = (LEAF_SAMPLE << depth) / max(1, n)
     unit = F.pmod(F.xxhash64(F.lit(seed), "c"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = groups.where(unit < wanted / max(1, n)).select("c", "v").collect() if depth else []
+    drawn = groups.where(unit < share).select("c", "v").collect() if depth else []
     sample = np.array([r["v"] for r in sorted(drawn)], dtype=float).reshape(len(drawn), dim)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    pivots, counts = dense_pivots(sample, threshold), None
+    pivots, counts = dense_pivots(sample, threshold, max(DENSE, int(leaf * min(1.0, share) / 4))), None
     if len(pivots):
         homed = stage(_home(groups, pivots, dim, threshold), "forest-homes")
         counts = stage(_tiled(homed, dim, threshold), "forest-tiles")
         groups = homed.where("home < 0")
-        depth = deep(groups.count())
+        n = groups.count()
+        depth = min(_levels(n, leaf), most)
         for lo in range(0, len(pivots), 100):
             sample = sample[(sample @ pivots[lo : lo + 100].T).max(1, initial=-2) < threshold]
-    count = trees if depth else 1
-    forest = spark.sparkContext.broadcast([grow(sample, depth, np.random.default_rng([seed, t])) for t in range(count)])
+    forest = spark.sparkContext.broadcast([grow(sample, depth, np.random.default_rng([seed, t])) for t in range(trees)])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.stack([np.asarray(v, float) for v in b["v"]]) if len(b) else np.zeros((0, dim))
-            unit_x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            unit_x, ids, many, data = _unit(x), b["c"].to_numpy(), b["many"].to_numpy(), np.array([v.tobytes() for v in x] or [b""], dtype=object)
             for t, splits in enumerate(forest.value):
                 row, node = descend(unit_x, splits, depth)
-                yield pd.DataFrame({"tree": t, "node": node, "c": b["c"].to_numpy()[row], "v": [v.tobytes() for v in x[row]]})
+                yield pd.DataFrame({"tree": t, "node": node + 1, "c": ids[row], "many": many[row], "v": data[row]})
+
+    dealt = groups.select("c", "v", "many").mapInPandas(deal, _DEALT)
+    found = []
+    if _levels(n, leaf) > depth:
+        dealt, apart = _deepen(stage(dealt, "forest-dealt"), dim, leaf, seed)
+        found += [_block_links(d, dim, threshold) for d in apart]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim)
-        unit_x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        pairs = leaf_pairs(unit_x, threshold)
-        ids = pdf["c"].to_numpy()
-        at = [pairs[i : i + 50_000] for i in range(0, len(pairs), 50_000)]
-        sure = [p[_cosines(x[p[:, 0]], x[p[:, 1]]) >= threshold] for p in at]
-        a, b = (ids[np.concatenate(sure)].T if sure else np.zeros((2, 0), np.int64))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return _told(leaf_pairs(x, threshold), pdf)
+
+    for part in (dealt if isinstance(dealt, list) else [dealt]):
+        found.append(part.groupBy("tree", "node").applyInPandas(compare, _LINKS))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links, counts
 
-    dealt = groups.select("c", "v").mapInPandas(deal, "tree int, node long, c long, v binary")
-    return dealt.groupBy("tree", "node").applyInPandas(compare, "a long, b long").distinct(), counts
+
+_DEALT = "tree int, node long, c long, many long, v binary"
+_LINKS = "a long, b long, many_a long, many_b long"
+
+
+def _told(pairs: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a frame's rows as links, the smaller id first."""
+    ids, many = pdf["c"].to_numpy(), pdf["many"].to_numpy()
+    i, j = pairs.T
+    i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+    return pd.DataFrame({"a": ids[i], "b": ids[j], "many_a": many[i], "many_b": many[j]})
+
+
+def _deepen(dealt: DataFrame, dim: int, leaf: int, seed: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(parts of ``dealt`` whose nodes are small, parts whose nodes no split makes smaller).
+
+    In rounds, each node of more than two leaves' rows is fitted on a sample of its
+    own, which one task holds, and its rows are dealt on by tasks of some ``DEALT`` rows.
+    """
+    done = []
+    for _ in range(ROUNDS):
+        sizes = dealt.groupBy("tree", "node").agg(F.count("*").alias("size"))
+        large = stage(sizes.where(F.col("size") > 2 * leaf), "forest-large")
+        if large.isEmpty():
+            return [*done, dealt], []
+        done.append(dealt.join(large.hint("merge"), ["tree", "node"], "left_anti"))
+        rows = dealt.join(large.hint("merge"), ["tree", "node"])
+        levels = F.least(F.ceil(F.log2(F.col("size") / leaf)), F.lit(MORE_LEVELS)).cast("int")
+        unit = F.pmod(F.xxhash64(F.lit(seed), "c", "node"), F.lit(1 << 30)) / float(1 << 30)
+        drawn = rows.withColumn("levels", levels).where(unit * F.col("size") < F.lit(LEAF_SAMPLE) * F.pow(F.lit(2), F.col("levels")))
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            tree, node, levels = (int(pdf[c].iloc[0]) for c in ("tree", "node", "levels"))
+            x = _unit(np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim))
+            at = [(low, high) for _, low, high in grow(x, levels, np.random.default_rng([seed, tree, node]))]
+            return pd.DataFrame({"tree": [tree], "node": [node], "levels": [levels], "at": [np.array(at).tobytes()]})
+
+        fits = drawn.select("tree", "node", "levels", "v").groupBy("tree", "node").applyInPandas(fit, "tree int, node long, levels int, at binary")
+        parts = F.ceil(F.col("size") / DEALT).cast("int")
+        fits = fits.join(large, ["tree", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("c", F.lit(5)), parts).cast("int"))  # of the same type, or cogroups would not meet
+
+        def deal(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf) or not len(own):
+                return pd.DataFrame({"tree": pd.Series(dtype="int32"), "node": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "many": pd.Series(dtype="int64"), "v": pd.Series(dtype=object)})
+            tree, node, levels = (int(own[c].iloc[0]) for c in ("tree", "node", "levels"))
+            rng, splits = np.random.default_rng([seed, tree, node]), []
+            for low, high in np.frombuffer(own["at"].iloc[0], float).reshape(-1, 2):
+                direction = rng.normal(size=dim)
+                splits.append((direction / np.linalg.norm(direction), low, high))
+            row, below = descend(_unit(np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim)), splits, levels)
+            out = pdf[["c", "many", "v"]].iloc[row]
+            return out.assign(tree=tree, node=(node << levels) + below - ((1 << levels) - 1))[["tree", "node", "c", "many", "v"]]
+
+        by = ["tree", "node", "part"]
+        dealt = stage(rows.select(*by, "c", "many", "v").groupBy(*by).cogroup(fits.select(*by, "levels", "at").groupBy(*by)).applyInPandas(deal, _DEALT), "forest-dealt")
+    sizes = dealt.groupBy("tree", "node").agg(F.count("*").alias("size"))
+    large = stage(sizes.where(F.col("size") > 2 * leaf), "forest-large")
+    return [*done, dealt.join(large.hint("merge"), ["tree", "node"], "left_anti")], [dealt.join(large.hint("merge"), ["tree", "node"])]
+
+
+def _block_links(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Links within nodes of any size, by pairs of bounded blocks."""
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c", F.lit(6)), blocks))
+    left = rows.select("tree", "node", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), blocks - 1)).alias("j"), "c", "many", "v", F.lit(True).alias("left"))
+    right = rows.select("tree", "node", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "c", "many", "v", F.lit(False).alias("left"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, side = np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim), pdf["left"].to_numpy(bool)
+        ids = pdf["c"].to_numpy()
+        unit, l, r = _unit(x), np.nonzero(side)[0], np.nonzero(~side)[0]
+        found = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(l), 500):
+            i, j = np.nonzero(unit[l[lo : lo + 500]] @ unit[r].T >= threshold - 1e-9)
+            i, j = l[i + lo], r[j]
+            some = ids[i] != ids[j]
+            i, j = i[some], j[some]
+            found.append(np.stack([i, j], 1)[_cosines(x[i], x[j]) >= threshold])
+        return _told(np.concatenate(found), pdf)
+
+    return left.unionByName(right).groupBy("tree", "node", "i", "j").applyInPandas(compare, _LINKS)

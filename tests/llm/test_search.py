@@ -254,28 +254,74 @@ def brute_vectors(rows, threshold=0.9):
     return {i: (sum(i in x for x in links), roots[i]) for i, _ in rows}
 
 
-def test_small_table_is_exact(spark, sf_dir):
+def test_driver_vectors(spark, sf_dir):
+    """Splits and several trees at 500 vectors too."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rp_forest.near_duplicates(df).collect()}
-    assert got == brute_vectors([(r["vec_id"], r["embedding"]) for r in df.collect()])
-
-
-def test_recall_of_the_forest():
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(3000, 64))
-    x = np.concatenate([base, base + 0.45 * rng.normal(size=base.shape)])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    true = set(map(tuple, np.argwhere(np.triu(x @ x.T >= 0.9, 1))))
-    found, depth = set(), 5
-    for t in range(rp_forest.TREES):
-        r = np.random.default_rng([3, t])
-        splits = rp_forest.grow(x[rng.permutation(len(x))[:1024]], depth, r)
-        row, node = rp_forest.descend(x, splits, depth)
-        for n in np.unique(node):
-            own = row[node == n]
-            found |= {tuple(sorted(p)) for p in own[rp_forest.leaf_pairs(x[own], 0.9, r)]}
-    assert found <= true and len(true) > 500
-    assert len(found) >= 0.97 * len(true)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert rp_forest._levels(len(rows), rp_forest.LEAF) >= 2
+    check_recall(rp_forest.near_duplicates(df).collect(), rows, 0.95)
+
+
+def check_recall(found, rows, least, threshold=0.9):
+    """No link too many, few too few, and components that follow from those found."""
+    want = brute_vectors(rows, threshold)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found}
+    assert set(got) == set(want)
+    assert all(got[i][0] <= want[i][0] and got[i][1] >= want[i][1] and got[i][2] == (got[i][1] == i) for i in want)
+    true = sum(n for n, _ in want.values())
+    assert sum(n for n, _, _ in got.values()) >= least * true
+    return true
+
+
+def scattered_pairs(n, seed):
+    """Vectors in pairs of which some two in five link."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 2, 64))
+    return np.concatenate([base, base + 0.5 * rng.uniform(0.5, 1.1, size=(n // 2, 1)) * rng.normal(size=base.shape)])
+
+
+def as_vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def brute_counts(x, threshold=0.9):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(u[i : i + 500] @ u.T >= threshold).sum(1) for i in range(0, len(u), 500)]) - 1
+
+
+def test_recall_of_the_forest(spark):
+    x = scattered_pairs(6000, 2)
+    want = brute_counts(x)
+    assert rp_forest._levels(len(x), rp_forest.LEAF) == 6 and want.sum() > 1000
+    got = {r["vec_id"]: r["n_links"] for r in rp_forest.near_duplicates(as_vectors(spark, x)).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_nodes_are_fitted_again(spark, monkeypatch):
+    """With a sample that reaches three levels, the others are fitted node by node, in rounds."""
+    monkeypatch.setattr(rp_forest, "MAX_SAMPLE", 256)
+    monkeypatch.setattr(rp_forest, "MORE_LEVELS", 2)
+    monkeypatch.setattr(rp_forest, "DEALT", 150)
+    x = scattered_pairs(3000, 4)
+    want = brute_counts(x)
+    got = {r["vec_id"]: r["n_links"] for r in rp_forest.near_duplicates(as_vectors(spark, x), leaf=32, trees=6).collect()}
+    assert len(got) == 3000 and all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.95 * want.sum()
+
+
+def test_nodes_that_no_split_makes_smaller(spark, monkeypatch):
+    """Parallel vectors fall on one place in every direction; what stays large is compared in blocks."""
+    monkeypatch.setattr(rp_forest, "MAX_SAMPLE", 64)
+    monkeypatch.setattr(rp_forest, "ROUNDS", 1)
+    monkeypatch.setattr(rp_forest, "DENSE", 10**6)
+    monkeypatch.setattr(rp_forest, "TILE", 40)
+    rng = np.random.default_rng(1)
+    one = rng.normal(size=8)
+    scale = 2.0 ** np.arange(-100, 100)[:, None]  # by powers of two, so that not a bit of their directions differs
+    x = np.concatenate([scale * one, -scale * one])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rp_forest.near_duplicates(as_vectors(spark, x), leaf=16, trees=2).collect()}
+    assert got == {i: (199, 0 if i < 200 else 200) for i in range(400)}
 
 
 def test_links_in_a_dense_group_are_whole(spark):
@@ -297,6 +343,8 @@ def test_vector_edges(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rp_forest.near_duplicates(df).collect()}
     want = brute_vectors([(i, [float(np.float32(x)) if x is not None else None for x in v] if v else v) for i, v in rows])
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
+    again = {r["vec_id"]: r["n_links"] for r in rp_forest.near_duplicates(df.unionByName(df), leaf=2).collect()}
+    assert [again[i] for i in (1, 4, 10, 12)] == [7, 0, 1, 1]  # rows that repeat an id and a vector link with each other
     more = df.limit(1).selectExpr("CAST(NULL AS BIGINT) AS vec_id", "embedding")
     assert [tuple(r) for r in rp_forest.near_duplicates(more).collect()] == [(None, 0, None, False)]
     assert rp_forest.near_duplicates(df.limit(0)).count() == 0
