@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a key filter (8 MB), and of each of its rows (the length that ``bitmap_construct_agg`` fixes).
 FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+#: Rows of a key beyond which they are spread.
+HOT = 1000
 #: Nodes that a partition's components may remember before they are passed on.
 FOREST_NODES = 1_000_000
 
@@ -113,6 +115,22 @@ def flag_keys(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFram
     return marked.withColumn(flag, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__row", "__bits")
 
 
+def join_spread(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with their group's other columns, null where there is none; ``groups`` has one row for each ``key`` and says in ``size`` how many rows have it.
+
+    Rows of groups above ``HOT`` rows, and of what the key filter takes for one,
+    are dealt over as many parts as there are shuffle partitions, and those groups
+    stand in each part; so no task gets all rows of a key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = groups.where(F.col(size) > HOT).select(key)
+    part = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    every = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    left = flag_keys(rows, key, hot, "__hot").withColumn("__part", part).drop("__hot")
+    right = flag_keys(groups.drop(size), key, hot, "__hot").withColumn("__part", every).drop("__hot")
+    return left.join(right.hint("merge"), [key, "__part"], "left").drop("__part")
+
+
 def word_count(text: Column) -> Column:
     """Number of ``WORD`` runs; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, scratch, stage
+from .common import connected_components, join_spread, scratch, stage
 
 #: Trees, vectors in a leaf, and the share of a node's rows on each side of a split that go down both sides.
 TREES, LEAF, SPILL = 8, 128, 0.07
@@ -30,7 +30,7 @@ MAX_SAMPLE, LEAF_SAMPLE = 50_000, 32
 #: Levels that a large node is fitted again for at once, its rows that one task deals, and rounds without which it is compared in blocks.
 MORE_LEVELS, DEALT, ROUNDS = 7, 20_000, 12
 #: Others of the sample that a pivot homes at least, and vectors on each side of a tile.
-DENSE, TILE = 4, 4000
+DENSE, TILE = 4, 1000
 
 
 def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, spill: float = SPILL) -> list[tuple[np.ndarray, float, float]]:
@@ -167,8 +167,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
         component = connected_components(links).select(F.col("node").alias("c"), "component")
         linked = linked.groupBy("c").agg(F.sum("others").alias("others"))
         info = groups.join(component, "c", "left").join(linked, "c", "left")
-        info = keep(info.select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links")), "forest-info")
-    out = rows.join(info.hint("merge"), "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        info = keep(info.select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links"), "many"), "forest-info")
+    out = join_spread(rows, info, "v", "many").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import chat, jaccard_join, quality, queries, rp_forest, secrets
-from spanloom.llm.common import connected_components, flag_keys
+from spanloom.llm.common import connected_components, flag_keys, join_spread
 
 from .helpers import edge_docs, empty_docs
 
@@ -243,6 +243,13 @@ def test_keys_that_may_be_there(spark):
     assert not flag_keys(rows, "key", keys.limit(0), "flag").where("flag").count()
 
 
+def test_rows_of_a_hot_key_meet_their_group(spark):
+    rows = spark.range(9000).select("id", F.when(F.col("id") % 3 > 0, F.lit(5)).when(F.col("id") % 100 > 0, F.col("id")).alias("key"))
+    groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("many"), F.max("id").alias("top"))
+    got = {r["id"]: r["top"] for r in join_spread(rows, groups, "key", "many").collect()}
+    assert got == {i: 8999 if i % 3 else i if i % 100 else None for i in range(9000)}
+
+
 # embeddings
 
 
