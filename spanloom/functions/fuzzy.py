@@ -12,8 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Places on each side of a normalised hit where the span may begin in the original.
-CORRIDOR = 40
+#: Places on each side of a normalised hit where the span may begin in the original, and by how much more it may be there.
+CORRIDOR, SLACK = 40, 80
+#: What a normalised form keeps of a lower-cased text beside blanks.
+KEPT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789'")
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -63,24 +65,49 @@ def inner_runs_udf(text: pd.Series, n: pd.Series, first: pd.Series) -> pd.Series
     return pd.Series([inner_runs(t, int(k), bool(f)) for t, k, f in zip(text, n, first)], dtype=object)
 
 
+def _placed_form(text: str) -> tuple[str, list[int]]:
+    """A text's normalised form, and where in the text each of its characters comes from."""
+    signs: list[str] = []
+    places: list[int] = []
+    for i, c in enumerate(text):
+        for x in c.lower():
+            x = x if x in KEPT else " "
+            if x != " " or signs and signs[-1] != " ":
+                signs.append(x)
+                places.append(i)
+    return "".join(signs).rstrip(" "), places
+
+
 def locate(span: str | None, text: str | None) -> tuple[int, int] | None:
-    """Where a span stands in a text: exactly, else by normalised forms near that place, tightened."""
+    """Where a span stands in a text: exactly, else where their normalised forms agree.
+
+    A span agrees with a place if the text's normalised form goes on like its own
+    from there; blanks and signs that the form drops may come before. Of the places
+    less than ``CORRIDOR`` characters from the number at which the forms agree
+    first, the first counts, up to the last character needed; the text may be up to
+    ``SLACK`` characters longer there than the span.
+    """
     if not span or not text:
         return None
     at = text.find(span)
     if at >= 0:
         return at, at + len(span)
     wanted = match_form(span)
-    near = match_form(text).find(wanted)
-    if near < 0:
-        return None
-    room = max(len(span) - 4, len(wanted)) + 80
-    for start in range(max(0, near - CORRIDOR), min(len(text), near + CORRIDOR)):
-        end = min(len(text), start + room)
-        if match_form(text[start:end]).startswith(wanted):
-            while end > start and match_form(text[start:end]).startswith(wanted):
-                end -= 1
-            return start, end + 1
+    form, places = _placed_form(text)
+    near = form.find(wanted)
+    if near < 0 or not wanted:
+        return (0, 1) if not wanted else None
+    low, high = max(0, near - CORRIDOR), min(len(text), near + CORRIDOR)
+    room = max(len(span) - 4, len(wanted)) + SLACK
+    k = near
+    while k >= 0:
+        before = k - 1 if k and form[k - 1] != " " else k - 2
+        earliest = places[before] + 1 if before >= 0 else 0
+        end = places[k + len(wanted) - 1] + 1
+        start = max(earliest, low, end - room)
+        if start <= places[k] and start < high:
+            return start, end
+        k = form.find(wanted, k + 1) if earliest < high else -1
     return None
 
 
