@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import alignment, ambiguity, distributions, evaluation, graphs, phrases, relations, storage, texts  # noqa: F401  (they register)
+from spanloom.plans import alignment, ambiguity, distributions, evaluation, graphs, parsed, phrases, relations, storage, texts  # noqa: F401  (they register)
 from spanloom.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "label_imbalance_source"

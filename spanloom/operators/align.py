@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.fuzzy import could_reach, ratio_udf
 from spanloom.functions.segment import containing, relation, sentence_spans_udf
 from spanloom.functions.text import tokens
+from spanloom.operators.labels import small
 
 LEAST_RATIO = 0.6
 
@@ -30,11 +31,11 @@ def best_matches(queries: DataFrame, candidates: DataFrame, key: str, *, query_f
 def codebook_matches(labels: DataFrame, codebook: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """label, match, score: the closest codebook entry (entry, pos) of each distinct label.
 
-    The codebook is a fixed, small list; each label meets all of it.
+    A codebook is a short list, broadcast if it is counted to be one; each label meets the entries that its length allows.
     """
     q = labels.select("label").where("label IS NOT NULL").distinct().select(F.lit(1).alias("k"), F.col("label").alias("query_id"), F.col("label").alias("query"))
     c = codebook.select(F.lit(1).alias("k"), F.col("entry").alias("cand_id"), F.col("entry").alias("cand"), "pos")
-    return best_matches(q, F.broadcast(c), "k", least=least).select(F.col("query_id").alias("label"), F.col("cand_id").alias("match"), "score")
+    return best_matches(q, small(c), "k", least=least).select(F.col("query_id").alias("label"), F.col("cand_id").alias("match"), "score")
 
 
 def coverage_ratios(queries: DataFrame, matches: DataFrame, level: str) -> DataFrame:

@@ -138,8 +138,11 @@ def cluster_purity(clusters: DataFrame) -> DataFrame:
     return counts.groupBy("cluster").agg(F.max("n").alias("top"), F.sum("n").alias("all")).agg((F.sum("top") / F.sum("all")).alias("purity"), F.count("*").alias("n_clusters"))
 
 
-def first_examples(found: DataFrame, n: int = 25) -> DataFrame:
-    """The first n conflicts of each label pair in order of (i, rank)."""
+def first_examples(found: DataFrame, n: int = 25, same: list[str] | None = None) -> DataFrame:
+    """The first n conflicts of each label pair in order of (i, rank); of rows that agree in the columns ``same``, if named, only the first counts."""
+    if same:
+        rest = [c for c in found.columns if c not in ("i", "rank", "j", *same)]
+        found = found.groupBy(*same).agg(F.min(F.struct("i", "rank", "j", *rest)).alias("m")).select(*same, "m.*")
     w = W.partitionBy(F.least("label_i", "label_j"), F.greatest("label_i", "label_j")).orderBy("i", "rank", "j")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 

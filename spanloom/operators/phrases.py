@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from spanloom.functions.numbers import softmax
 from spanloom.functions.text import blank_words, char_ngrams, jaccard, keyword_hit, normalize_phrase
+from spanloom.operators.labels import small
 
 #: N-gram length, gates of fuzzy matches, matches kept, weight of the prior, boost of keyword hits.
 NGRAM, LEAST_JACCARD, LEAST_TOKENS, MOST_MATCHES, PRIOR_SCALE, BOOST = 3, 0.85, 0.85, 5, 0.5, 1.5
@@ -20,7 +21,7 @@ def type_counts(phrases: DataFrame, *by: str) -> DataFrame:
     if not by:
         return phrases.groupBy("type").agg(F.count("*").alias("count"))
     axes = [phrases.select(c).where(F.col(c).isNotNull()).distinct() for c in (*by, "type")]
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)  # few labels, fields and types
+    grid = reduce(lambda a, b: a.crossJoin(small(b)), axes)  # few labels, fields and types
     counts = phrases.groupBy(*by, "type").agg(F.count("*").alias("c"))
     return grid.join(counts, [*by, "type"], "left").select(*by, "type", F.coalesce("c", F.lit(0)).alias("count"))
 
@@ -128,6 +129,6 @@ def sentence_scores(phrases: DataFrame, found: DataFrame, scores: DataFrame, pri
     hits = rows.groupBy("sentence_id", "label").agg(F.sum(weight).alias("hit"))
     base = prior.where("prior > 0").select("label", (F.lit(PRIOR_SCALE) * F.log1p(F.col("prior").cast("double"))).alias("base"))
     sentences = phrases.select("sentence_id").distinct()
-    every = sentences.crossJoin(F.broadcast(base))  # a codebook's labels
+    every = sentences.crossJoin(small(base))  # a codebook's labels
     out = every.join(hits, ["sentence_id", "label"], "left").select("sentence_id", "label", (F.coalesce("hit", F.lit(0.0)) + F.col("base")).alias("score"))
     return out.withColumn("probability", softmax(F.col("score"), W.partitionBy("sentence_id"), temperature))

@@ -133,3 +133,17 @@ def mapped_or_counted(rows: DataFrame, mapping: DataFrame, label: str) -> tuple[
     dim = mapping.select(F.lower("raw").alias("__raw"), F.col("matched_codebook_label").alias("mapped")).dropDuplicates(["__raw"])
     lost = rows.join(small(dim), F.lower(label) == F.col("__raw"), "left_anti").agg(F.count("*").alias("dropped"))
     return rows.join(small(dim), F.lower(label) == F.col("__raw")).drop("__raw"), lost
+
+
+def annotated_units(messages: DataFrame) -> DataFrame:
+    """level, id, content, span: sentences and subsentences of segmented messages that have a span, and messages in which any has one."""
+    filled = lambda x: F.coalesce(x["most_close_annotation_span"], F.lit("")) != ""
+    any_in = F.exists("sentences", lambda s: filled(s) | F.coalesce(F.exists(s["subsentences"], filled), F.lit(False)))
+    whole = messages.where(any_in).select(F.lit("message").alias("level"), F.col("message_id").cast("string").alias("id"), F.col("message").alias("content"), F.lit(None).cast("string").alias("span"))
+    sentences = messages.select(F.explode("sentences").alias("s"))
+    subs = sentences.select(F.explode("s.subsentences").alias("u"))
+    out = whole
+    for rows, name, level in ((sentences.select("s.*"), "sentence", "sentence"), (subs.select("u.*"), "subsentence", "subsentence")):
+        kept = rows.where("coalesce(most_close_annotation_span, '') <> ''")
+        out = out.unionByName(kept.select(F.lit(level).alias("level"), F.col(f"{name}_id").alias("id"), F.col(name).alias("content"), F.col("most_close_annotation_span").alias("span")))
+    return out

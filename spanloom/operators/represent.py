@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import char_ngrams, model_words
-from spanloom.llm.common import stage
+from spanloom.operators.labels import small
+from spanloom.session import written
 
 #: Terms up to which the Gram matrix is solved on the driver; beyond that, directions are iterated on the rows.
-MAX_DENSE_TERMS = 4000
+MAX_DENSE_TERMS = 1500
 #: Directions iterated beside those asked for, rounds at most, and the change of singular values that ends them.
 EXTRA, ROUNDS, SETTLED = 20, 60, 1e-9
 #: Numbers of a block of term vectors in one row.
@@ -65,7 +66,7 @@ def lsa(weights: DataFrame, k: int = 200, dense: int = MAX_DENSE_TERMS, ids: Dat
     that get a row in any case; those without terms have a vector of zeros.
     """
     spark = weights.sparkSession
-    weights = stage(weights.select("id", "term", "weight"), "lsa-weights")
+    weights = written(weights.select("id", "term", "weight"), "lsa-weights")
     terms = weights.select("term").distinct()
     m = terms.count()
     if m > dense:
@@ -96,10 +97,10 @@ def _lsa_dense(weights: DataFrame, k: int) -> tuple[DataFrame, int]:
         i, j = np.nonzero(np.triu(total))
         yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
 
-    sums = docs.select("p", "w").mapInPandas(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    sums = docs.select("p", "w").mapInPandas(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    i, j, v = (sums[c].to_numpy() for c in ("i", "j", "v"))  # as columns, of half the square of ``dense`` terms at most
     whole = np.zeros((m, m))
-    for r in sums:
-        whole[r["i"], r["j"]] = whole[r["j"], r["i"]] = r["v"]
+    whole[i, j] = whole[j, i] = v
     values, vectors = np.linalg.eigh(whole)
     basis = vectors[:, np.argsort(-values, kind="stable")[: min(k, m)]]
     basis = basis * np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
@@ -180,22 +181,22 @@ def _lsa_iterated(weights: DataFrame, k: int, m: int) -> tuple[DataFrame, int]:
         for b in batches:
             yield pd.DataFrame({"term": b["term"], "x": [np.random.default_rng(zlib.crc32(t.encode())).normal(size=width) for t in b["term"]]})
 
-    block = stage(weights.select("term").distinct().mapInPandas(start, "term string, x array<double>"), "lsa-block")
-    block = stage(_turned(block, "term", _whitener(_inner(block, width))), "lsa-block")
+    block = written(weights.select("term").distinct().mapInPandas(start, "term string, x array<double>"), "lsa-block")
+    block = written(_turned(block, "term", _whitener(_inner(block, width))), "lsa-block")
     before = None
     for _ in range(ROUNDS):
         width = block.select(F.size("x")).first()[0]
-        docs = stage(_summed(weights.join(block, "term"), "id", width), "lsa-docs")
+        docs = written(_summed(weights.join(block, "term"), "id", width), "lsa-docs")
         values, vectors = np.linalg.eigh(_inner(docs, width))  # of the Gram matrix within the block
         order = np.argsort(-values, kind="stable")[: min(k, width)]
         if before is not None and len(before) == len(order) and np.abs(values[order] - before).max() <= SETTLED * values[order[0]]:
             break
         before = values[order]
-        ahead = stage(_summed(weights.join(docs, "id"), "term", width), "lsa-ahead")
-        block = stage(_turned(ahead, "term", _whitener(_inner(ahead, width))), "lsa-block")
+        ahead = written(_summed(weights.join(docs, "id"), "term", width), "lsa-ahead")
+        block = written(_turned(ahead, "term", _whitener(_inner(ahead, width))), "lsa-block")
     else:
         width = block.select(F.size("x")).first()[0]
-        docs = stage(_summed(weights.join(block, "term"), "id", width), "lsa-docs")
+        docs = written(_summed(weights.join(block, "term"), "id", width), "lsa-docs")
         values, vectors = np.linalg.eigh(_inner(docs, width))
         order = np.argsort(-values, kind="stable")[: min(k, width)]
     basis = vectors[:, order]
@@ -234,7 +235,7 @@ def prototype_cosines(items: DataFrame, found: DataFrame) -> DataFrame:
     """id, label, cosine of each item with each prototype; labels are a codebook's."""
     from spanloom.functions.numbers import dot, norm
 
-    rows = items.select("id", "vector").crossJoin(F.broadcast(found))
+    rows = items.select("id", "vector").crossJoin(small(found))
     size = norm(F.col("vector"))
     return rows.select("id", "label", F.when(size > 0, dot(F.col("vector"), F.col("prototype")) / size).otherwise(0.0).alias("cosine"))
 

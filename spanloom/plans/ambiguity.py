@@ -73,6 +73,22 @@ def conflict_examples(spark, d):
     return out.select("i", "j", F.least("label_i", "label_j").alias("label_a"), F.greatest("label_i", "label_j").alias("label_b"), "place")
 
 
+@query("distinct_conflict_examples", f"WITH {_KNN}, x AS (SELECT i, j, rank, {_PAIRS}, row_number() OVER (PARTITION BY li, lj, j % 10 ORDER BY i, rank, j) AS k FROM f) SELECT i, j, label_a, label_b, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label_a, label_b ORDER BY i, rank, j) AS INTEGER) AS place FROM x WHERE k = 1) WHERE place <= 50")
+def distinct_conflict_examples(spark, d):
+    """Of conflicts with the same labels and the same neighbour's text (here a digit) the first, and 50 of each pair."""
+    rows = N.conflicts(_pairs(spark, d), THRESHOLD).withColumn("text", F.col("j") % 10)
+    out = N.first_examples(rows, 50, ["label_i", "label_j", "text"])
+    return out.select("i", "j", F.least("label_i", "label_j").alias("label_a"), F.greatest("label_i", "label_j").alias("label_b"), "place")
+
+
+@query("given_vectors", "SELECT item_id AS id, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(list_sum(CAST(embedding AS DOUBLE[])) AS DOUBLE), 6) AS total FROM benchmark JOIN embeddings ON vec_id = item_id")
+def given_vectors(spark, d):
+    """Vectors of texts that are there already are taken as they are."""
+    given = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    out = M.vectors_or_tfidf(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), given)
+    return rounded(out.select("id", F.size("vector").alias("dim"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
 @query("first_conflicts_overall", f"WITH {_KNN} SELECT i, j, CAST(rank AS INTEGER) AS rank FROM f ORDER BY i, rank LIMIT 200")
 def first_conflicts_overall(spark, d):
     return N.conflicts(_pairs(spark, d), THRESHOLD).select("i", "j", "rank").orderBy("i", "rank").limit(200)

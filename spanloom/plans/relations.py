@@ -126,7 +126,7 @@ def alias_hits(spark, d):
 @query("alias_verification", "WITH r AS (SELECT p_type AS raw FROM part), h AS (SELECT 'cheap' AS target, raw FROM r WHERE lower(raw) = 'economy' OR regexp_matches(raw, '(?i)^pro') UNION ALL SELECT 'plain', raw FROM r WHERE regexp_matches(raw, '(?i)stan|small')) SELECT target, raw, count(*) AS count FROM h GROUP BY 1, 2")
 def alias_verification(spark, d):
     raws = table(spark, d, "part").select(F.col("p_type").alias("raw"))
-    return raws.join(F.broadcast(alias_hits(spark, d)), "raw").groupBy("target", "raw").agg(F.count("*").alias("count"))
+    return raws.join(L.small(alias_hits(spark, d)), "raw").groupBy("target", "raw").agg(F.count("*").alias("count"))
 
 
 @query("alias_contributions", "WITH h AS (SELECT p_type AS target, p_brand AS raw, count(*) AS n FROM part GROUP BY 1, 2) SELECT target, sum(n)::BIGINT AS total, count(DISTINCT raw) AS n_subcodes, string_agg(DISTINCT raw, '; ' ORDER BY raw) AS subcodes FROM h GROUP BY 1")
@@ -270,3 +270,48 @@ def subtree_sizes(spark, d):
 def filled_down(spark, d):
     rows = table(spark, d, "region").select("r_regionkey", F.expr("CASE WHEN r_regionkey % 2 = 0 THEN r_name END").alias("name"))
     return H.fill_down(rows, ["name"], "r_regionkey")
+
+
+@query("graph_labels_last", f"WITH w AS ({_WORDS}) SELECT CAST(id AS VARCHAR) AS graph_id, codes[len(codes)] AS label FROM w WHERE len(codes) > 0")
+def graph_labels_last(spark, d):
+    """The last label of any level."""
+    level = lambda c: F.when(F.length(c) % 2 == 1, "subcode").otherwise("code")
+    units = _words(spark, d).select(F.col("id").cast("string").alias("id"), F.lit("").alias("text"), F.transform("codes", lambda c: F.struct(c.alias("label"), level(c).alias("level"))).alias("labels"))
+    return R.graph_labels(units.select(F.col("id").alias("graph_id")), units, "last").drop("text")
+
+
+_UNITS = """
+t AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn % 3 = 1 AND coalesce(text, '') <> '' AS has FROM conversations),
+u AS (SELECT conv_id, turn, unnest(string_split(text, ', ')) AS piece, unnest(range(len(string_split(text, ', ')))) AS k FROM t),
+k AS (SELECT *, length(piece) % 4 = 0 AND piece <> '' AS has FROM u),
+m AS (SELECT conv_id FROM t WHERE has UNION SELECT conv_id FROM k WHERE has)"""
+
+
+@query("annotated_units", f"""WITH {_UNITS}
+    SELECT 'message' AS level, CAST(conv_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS span FROM m
+    UNION ALL SELECT 'sentence', conv_id || '_' || turn, substr(text, 1, 5) FROM t WHERE has
+    UNION ALL SELECT 'subsentence', conv_id || '_' || turn || '_' || k, piece FROM k WHERE has""")
+def annotated_units(spark, d):
+    """Conversations as messages, turns as sentences, their parts between commas as subsentences; some of each have a span."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    name = lambda *c: F.concat_ws("_", *[F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in c])
+    piece = lambda p, k: F.struct(name("conv_id", "turn", k).alias("subsentence_id"), p.alias("subsentence"), F.when(F.length(p) % 4 == 0, p).alias("most_close_annotation_span"))
+    span = F.when(F.col("turn") % 3 == 1, F.substring("text", 1, 5)).alias("most_close_annotation_span")
+    sentence = F.struct(name("conv_id", "turn").alias("sentence_id"), F.col("text").alias("sentence"), span, F.transform(F.split("text", ", ", -1), piece).alias("subsentences"))
+    messages = t.groupBy(F.col("conv_id").alias("message_id")).agg(F.lit("").alias("message"), F.collect_list(sentence).alias("sentences"))
+    return R.annotated_units(messages).select("level", "id", "span")
+
+
+@query("columns_normalised", 'SELECT n_nationkey AS nation_key, n_name AS name, n_regionkey AS region FROM nation')
+def columns_normalised(spark, d):
+    messy = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").toDF(" Nation-Key ", "NAME", "Region  Number")
+    return L.strip_columns(messy, {"region_number": "region"})
+
+
+@query("columns_found", "SELECT * FROM (VALUES (0, 'n_name', 'label;name'), (1, CAST(NULL AS VARCHAR), 'label;name;true_label'), (2, 'n_regionkey', '')) v(k, found, missing)")
+def columns_found(spark, d):
+    """The first of some names that a table has, and all that it lacks."""
+    n = table(spark, d, "nation")
+    wanted = [["label", "n_name", "name"], ["label", "name", "true_label"], ["n_regionkey", "n_name"]]
+    rows = [(k, L.find_column(n, names), ";".join(L.missing_columns(n, names))) for k, names in enumerate(wanted)]
+    return spark.createDataFrame(rows, "k int, found string, missing string")
