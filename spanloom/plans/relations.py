@@ -195,9 +195,9 @@ def model_outcomes(spark, d):
     return R.compare_models(a, b).groupBy("outcome").agg(F.count("*").alias("count"))
 
 
-@query("to_do_ids", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("to_do_ids", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def to_do_ids(spark, d):
-    return R.to_do(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return R.to_do(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("features_or_zero", "SELECT doc_id, CASE WHEN quality IS NULL THEN [0.0, 0.0] ELSE [CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)] END AS features FROM documents LEFT JOIN labels USING (doc_id)")
