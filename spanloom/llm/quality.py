@@ -24,11 +24,11 @@ from .common import stage
 MAX_ROWS, MAX_BYTES = 4000, 16 << 20
 #: Numbers of a vector, non-zeros of an index vector, words each way that count as context.
 DIM, NONZERO, WINDOW = 48, 6, 2
-#: Words with vectors of their own at most, and in how many training texts they must occur.
-MAX_WORDS, MIN_TEXTS = 40_000, 3
+#: In how many training texts a word or a shape must occur to have a vector of its own; there are as many as the bounded sample holds.
+MIN_TEXTS = 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 4e-3, 1e-4
 CACHE_WORDS = 150_000
-#: Letters up to which a word is one token, and letters of the pieces that longer ones are cut into: the signs of a shape at most.
+#: Letters up to which a word is one token, and letters of the pieces that longer ones are cut into.
 LONG, PIECE = 64, 12
 
 _SIGNS = {code: sign for first, last, sign in (("A", "Z", "A"), ("À", "Ö", "A"), ("Ø", "Þ", "A"), ("a", "z", "a"), ("ß", "ö", "a"), ("ø", "ÿ", "a"), ("0", "9", "0")) for code in range(ord(first), ord(last) + 1)}
@@ -37,7 +37,7 @@ _REPEATS = re.compile(r"(.)\1+").sub
 
 def shape_of(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each, other signs once for each run."""
-    return _REPEATS(r"\1", word.translate(_SIGNS))[:PIECE]
+    return _REPEATS(r"\1", word.translate(_SIGNS))
 
 
 def _tokens(text: str | None) -> list[str]:
@@ -167,7 +167,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
         forms.update({shape_of(w) for w in own})
     shapes = {s: i for i, s in enumerate(sorted(s for s, c in forms.items() if c >= MIN_TEXTS or "\n" in s))}
     shapes.setdefault("\nother", len(shapes))
-    known = sorted((w for w, c in spread.items() if c >= MIN_TEXTS), key=lambda w: (-spread[w], w))[:MAX_WORDS]
+    known = sorted((w for w, c in spread.items() if c >= MIN_TEXTS), key=lambda w: (-spread[w], w))
     words = {w: len(shapes) + i for i, w in enumerate(known)}
     places, signs = _index_vectors([*shapes, *words], seed)
     context = np.zeros((len(places), DIM))
@@ -210,10 +210,12 @@ def fold(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seed: int = 5) -> Model:
-    """Fit on a seeded sample of the labelled rows that aren't held out, of about ``max_rows`` rows and ``max_bytes``.
+    """Fit on a seeded sample of the labelled rows that aren't held out, of at most ``max_rows`` rows and ``max_bytes`` of text.
 
     Rows without an id or a label teach nothing. The sample is drawn by id, so
-    reruns fit the same model; only the sample reaches the driver.
+    reruns fit the same model: ids in the order of their draw, without those whose
+    texts don't fit into what is left of the bounds. Only the sample, and before
+    it ids and sizes of some ``max_rows`` drawn, reach the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 2))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
@@ -222,8 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     some = known.where(unit < max_rows / max(1, n))
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(some), "id")  # some max_rows ids
     some = stage(some, "quality-sample")
-    size = some.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    rows = sorted(some.where(unit < max_rows / max(1, n) * min(1.0, max_bytes / max(1, size))).collect(), key=lambda r: (r["id"], r["t"] or "", r["y"]))
+    drawn = some.groupBy("id", unit.alias("u")).agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).collect()
+    ids, bytes_left, rows_left = [], max_bytes, max_rows
+    for r in sorted(drawn, key=lambda r: (r["u"], r["id"])):
+        if r["b"] <= bytes_left and r["n"] <= rows_left:
+            ids.append(r["id"])
+            bytes_left, rows_left = bytes_left - r["b"], rows_left - r["n"]
+    rows = sorted(some.where(F.col("id").isin(ids)).collect(), key=lambda r: (r["id"], r["t"] or "", r["y"]))
     return train([r["t"] for r in rows], [r["y"] for r in rows], seed)
 
 

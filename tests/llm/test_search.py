@@ -396,6 +396,38 @@ def test_long_runs_are_read_to_their_end():
     assert "".join(quality._tokens("Ab0-" * 50)) == "Ab0-" * 50
 
 
+def test_words_differ_to_their_last_letter():
+    assert quality.shape_of("a1" * 30 + "-") != quality.shape_of("a1" * 30 + "+") and len(quality.shape_of("a1" * 30)) == 60
+
+
+def test_scores_against_plain_pooling(spark, sf_dir):
+    """Every document's score from vectors summed token by token."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    dim = model.vectors.shape[1]
+    for r in docs.collect():
+        tokens = quality._tokens(r["text"])
+        rows = [(model.words.get(t), model.shapes.get(quality.shape_of(t), model.shapes["\nother"])) for t in tokens]
+        x = np.zeros(2 * dim + 3)
+        for word, shape in rows:
+            x[:dim] += model.vectors[shape if word is None else word] / len(rows)
+            x[dim:-3] += model.vectors[shape] / len(rows)
+        pairs = [(shape if word is None else word, shape) for word, shape in rows]
+        x[-3:] = sum(a == b for a, b in zip(pairs, pairs[1:])) / max(1, len(rows) - 1), len(set(pairs)) / max(1, len(rows)), np.log1p(len(rows))
+        a, b, c, d = model.layers
+        z = np.maximum((x - model.mean) / model.scale @ a + b, 0) @ c + d
+        assert abs(1 / (1 + np.exp(-z / model.temperature)) - got[r["doc_id"]]) < 1e-4
+
+
+def test_the_sample_keeps_its_bounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, seed: seen.append(texts))
+    docs = spark.createDataFrame([(i, "x" * (100_000 if i == 3 else 50)) for i in range(400)], "doc_id long, text string")
+    quality.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"), max_rows=100, max_bytes=3000)
+    assert 20 <= len(seen[0]) <= 60 and sum(map(len, seen[0])) <= 3000
+
+
 # secrets
 
 
