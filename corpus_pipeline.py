@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import jaccard_join, mixing, packing, quality, radix_dedup
-from spanloom.llm.common import stage
+from spanloom.llm.common import scratch
 from spanloom.llm.queries import tokenizer_path
 from spanloom.session import ship
 
@@ -59,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's tables are deleted once its rows are written, those once the next has read them."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    with scratch() as keep_last:
+        for name, function in STAGES[:-1]:
+            with scratch() as keep:
+                docs = keep(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        name, function = STAGES[-1]
+        return keep_last(function(spark, docs, sf_dir), name)
