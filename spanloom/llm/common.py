@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of a key filter (8 MB), and of each of its rows (the length that ``bitmap_construct_agg`` fixes).
-FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
+#: Bits of a key filter for each key, all of them at most (8 MB), and those of each of its rows (which ``bitmap_construct_agg`` fixes).
+KEY_BITS, FILTER_BITS, ROW_BITS = 64, 1 << 26, 1 << 15
 #: Rows of a key beyond which they are spread.
 HOT = 1000
 #: Nodes that a partition's components may remember before they are passed on.
@@ -99,13 +99,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def flag_keys(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     """``rows`` with ``flag``: whether their ``key`` may be among ``keys`` (a table of one column); surely false where it isn't set.
 
-    A filter of ``FILTER_BITS`` bits, whatever the tables' sizes, goes to the rows,
-    which stay where they lie. A set flag is wrong by chance, as often as the filter
-    is full; what is flagged has to be checked. Null keys are not flagged. As many
-    keys as bits flag nearly all rows: then a check costs what it would without.
+    A filter of ``KEY_BITS`` bits for each key, but ``FILTER_BITS`` at most, goes to
+    the rows, which stay where they lie. A set flag is wrong by chance, as often as
+    the filter is full; what is flagged has to be checked. Null keys are not
+    flagged. As many keys as bits flag nearly all rows: then a check costs what it
+    would without.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1  # noqa: E731  (counted from one, as bitmap functions do)
-    spots = keys.select(F.col(keys.columns[0]).alias("k")).where("k IS NOT NULL").select(place(F.col("k")).alias("p"))
+    keys = keys.select(F.col(keys.columns[0]).alias("k")).where("k IS NOT NULL")
+    size = min(FILTER_BITS, max(ROW_BITS, KEY_BITS * keys.count()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1  # noqa: E731  (counted from one, as bitmap functions do)
+    spots = keys.select(place(F.col("k")).alias("p"))
     bits = spots.groupBy(F.bitmap_bucket_number("p").alias("__row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
     at = F.pmod(place(F.col(key)) - 1, F.lit(ROW_BITS)).cast("int")
     byte = F.conv(F.hex(F.substr(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")

@@ -30,7 +30,7 @@ MAX_SAMPLE, LEAF_SAMPLE = 50_000, 32
 #: Levels that a large node is fitted again for at once, its rows that one task deals, and rounds without which it is compared in blocks.
 MORE_LEVELS, DEALT, ROUNDS = 7, 20_000, 12
 #: Others of the sample that a pivot homes at least, and vectors on each side of a tile.
-DENSE, TILE = 4, 1000
+DENSE, TILE = 4, 500
 
 
 def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, spill: float = SPILL) -> list[tuple[np.ndarray, float, float]]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, jaccard_join, quality, queries, rp_forest, secrets
+from spanloom.llm import chat, common, jaccard_join, quality, queries, rp_forest, secrets
 from spanloom.llm.common import connected_components, flag_keys, join_spread
 
 from .helpers import edge_docs, empty_docs
@@ -243,6 +243,15 @@ def test_keys_that_may_be_there(spark):
     assert not flag_keys(rows, "key", keys.limit(0), "flag").where("flag").count()
 
 
+def test_a_full_filter_flags_all(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(common, "KEY_BITS", 1)
+    rows = spark.range(300000)
+    got = flag_keys(rows, "id", rows.where("id % 2 = 0"), "flag").groupBy("flag", F.col("id") % 2).count().collect()
+    assert {(r["flag"], r[1]) for r in got} == {(True, 0), (True, 1), (False, 1)} or all(r["flag"] for r in got)
+    assert sum(r["count"] for r in got if r["flag"]) > 290000
+
+
 def test_rows_of_a_hot_key_meet_their_group(spark):
     rows = spark.range(9000).select("id", F.when(F.col("id") % 3 > 0, F.lit(5)).when(F.col("id") % 100 > 0, F.col("id")).alias("key"))
     groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("many"), F.max("id").alias("top"))
