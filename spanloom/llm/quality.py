@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ DIM, NONZERO, WINDOW = 48, 6, 2
 #: In how many training texts a word or a shape must occur to have a vector of its own; there are as many as the bounded sample holds.
 MIN_TEXTS = 3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 4e-3, 1e-4
-CACHE_WORDS = 150_000
+#: Words that a worker remembers, and texts that leave Arrow's memory at once.
+CACHE_WORDS, PART = 100_000, 64
 #: Letters up to which a word is one token, and letters of the pieces that longer ones are cut into.
 LONG, PIECE = 64, 12
 
@@ -239,9 +240,10 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict = {}
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(texts.tolist(), cache))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [sent.value.score(texts.slice(i, PART).to_pylist(), cache) for i in range(0, len(texts), PART)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(docs[text_col])
 
