@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, deleted when the process ends; only a local session may lack one and gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +45,13 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each context, so that they need no copy of their own."""
+    """Send the package to the executors, once for each context, so that they need no copy of their own.
+
+    Rows go to Python ``BATCH_ROWS`` at once unless the session says otherwise: texts can be long, and a batch of
+    Spark's 10,000 is held several times over on its way.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_spanloom_shipped", False):
         return
