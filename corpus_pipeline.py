@@ -23,26 +23,31 @@ CAPACITY = 4096
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), LEAST_QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
+    ship(spark)
     return radix_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words to a shingle, similarity 0.8 or more."""
+    ship(spark)
     return jaccard_join.drop_near_copies(docs, words=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them."""
+    ship(spark)
     return mixing.mixed_rows(docs, mixing.cycle_weights(SOURCE_WEIGHTS), max_epochs=MAX_EPOCHS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their sequences and places."""
+    ship(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), CAPACITY)
 
 
@@ -60,7 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's tables are deleted once its rows are written, those once the next has read them."""
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with scratch() as keep_last:
         for name, function in STAGES[:-1]:
