@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -129,6 +131,37 @@ def test_hardly_linked_cluster_is_compared_by_pairs_of_blocks(spark, monkeypatch
     assert jaccard(as_docs(spark, docs)) == want
 
 
+def shuffle_files(spark):
+    """Files of shuffles that are still on this process's disk."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [found.apply(i).getName() for i in range(found.size())]
+    return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+
+def test_shuffle_files_go_when_their_table_is_written(spark):
+    before = shuffle_files(spark)
+    numbers = spark.range(20_000).withColumn("k", F.col("id") % 999)
+    common.stage(numbers.groupBy("k").count().join(numbers.hint("merge"), "k"), "numbers")
+    for _ in range(50):  # they go by themselves, not at once
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+
+
+def test_slices_lose_no_link(spark, monkeypatch):
+    """First shingles and tiles that go over the disk in slices give what they give at once."""
+    for name, value in (("TILE", 25), ("CENTRES", 1), ("FEW", 3), ("SLICE_ROWS", 400), ("SLICE_BYTES", 100_000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    written, stage = Counter(), jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: written.update([name]) or stage(df, name))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    docs = [(i, " ".join(edited(rng, base[: 70 + i % 20], rng.randrange(1, 5)))) for i in range(150)]
+    assert jaccard(as_docs(spark, docs)) == brute_components(docs)
+    assert written["jaccard-again"] > 2
+
+
 def test_documents_of_one_template_do_not_meet(spark):
     """Jaccard 0.6 through a shared form: common shingles come last, so that no class has them among its first."""
     rng = random.Random(12)
