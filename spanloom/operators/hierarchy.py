@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanloom.functions.text import codebook_id
+from spanloom.session import written
 
 #: Levels of recursion that SQL may take; codebooks are a few levels deep.
 MOST_LEVELS = 1000
@@ -82,16 +83,18 @@ def subtree(nodes: DataFrame, edges: DataFrame, keyword: str, order: str = "ord"
 
 
 def subtrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, id) for every node and everything below it, itself included."""
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(root, id, path) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-          SELECT id, id, array(id) FROM {{nodes}}
-          UNION ALL
-          SELECT w.root, e.target, array_append(w.path, e.target) FROM walk w JOIN {{edges}} e ON e.source = w.id WHERE NOT array_contains(w.path, e.target))
-        SELECT DISTINCT root, id FROM walk""",
-        nodes=nodes, edges=edges,
-    )
+    """(root, id) for every node and everything below it, itself included.
+
+    Level by level, each written to the shared folder, until one brings nothing new: recursion in SQL ends with an
+    error beyond a million rows.
+    """
+    found = ahead = written(nodes.select(F.col("id").alias("root"), "id").distinct(), "subtrees")
+    below = edges.where("target IS NOT NULL").select(F.col("source").alias("id"), "target")
+    while not ahead.isEmpty():
+        new = ahead.join(below, "id").select("root", F.col("target").alias("id")).distinct()
+        ahead = written(new.join(found, ["root", "id"], "left_anti"), "subtrees")
+        found = found.unionByName(ahead)
+    return found
 
 
 def message_tree(segmented: DataFrame) -> DataFrame:

@@ -190,6 +190,23 @@ def test_cycles_end(spark):
 # neighbours and representations
 
 
+def test_subtrees_beyond_the_recursion_limit(spark):
+    """More rows than SQL recursion may make; a chain, a node reached twice and a cycle end."""
+    pairs = [("r", f"n{i}") for i in range(4)] + [(f"n{i % 4}", f"c{i}") for i in range(60)] + [("n0", "c1"), ("x", "y"), ("y", "x")]
+    ids = {x for p in pairs for x in p}
+    nodes, edges = spark.createDataFrame([(i,) for i in sorted(ids)], "id string"), spark.createDataFrame(pairs, "source string, target string")
+    want = {(i, i) for i in ids}
+    while more := {(r, t) for r, i in want for s, t in pairs if s == i} - want:
+        want |= more
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        got = [tuple(r) for r in hierarchy.subtrees(nodes, edges).select("root", "id").collect()]
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    assert len(got) == len(want) > 50 and set(got) == want
+
+
 def test_knn_over_tiles(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(150, 6))
