@@ -29,6 +29,8 @@ TREES, LEAF, SPILL = 8, 128, 0.07
 MAX_SAMPLE, LEAF_SAMPLE = 50_000, 32
 #: Levels that a large node is fitted again for at once, its rows that one task deals, and rounds without which it is compared in blocks.
 MORE_LEVELS, DEALT, ROUNDS = 7, 20_000, 12
+#: Bytes that trees send at once, unless a vector's four bytes a number make more in all.
+WAVE_BYTES = 1 << 28
 #: Others of the sample that a pivot homes at least, and vectors on each side of a tile.
 DENSE, TILE = 4, 500
 
@@ -49,10 +51,15 @@ def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, spill: float
     return splits
 
 
-def descend(x: np.ndarray, splits: list, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) for each leaf that each row comes to."""
+def descend(x: np.ndarray, splits: list, depth: int, part: int = 0, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) for each leaf that each row comes to, of those below the ``part``-th node of ``level``."""
     row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for _ in range(depth):
+    for at_level in range(depth + 1):
+        if at_level == level:
+            own = node == (1 << level) - 1 + part
+            row, node = row[own], node[own]
+        if at_level == depth:
+            break
         at = np.empty(len(row))
         low, high = np.empty(len(row)), np.empty(len(row))
         for n in np.unique(node):
@@ -65,6 +72,21 @@ def descend(x: np.ndarray, splits: list, depth: int) -> tuple[np.ndarray, np.nda
     return row, node
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Each row's bytes, in single precision where that holds all of it."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return [a.tobytes() if same else b.tobytes() for a, b, same in zip(short, x, (short == x).all(1))]
+
+
+def _matrix(values: pd.Series, dim: int) -> np.ndarray:
+    """What ``_packed`` made, in double precision."""
+    kinds = {len(v) for v in values}
+    if len(kinds) < 2:
+        return np.frombuffer(b"".join(values), np.float32 if kinds == {4 * dim} else float).reshape(len(values), dim).astype(float)
+    return np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else float) for v in values], float)
+
+
 def leaf_pairs(x: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs (i, j), i < j, of rows whose cosine is ``threshold`` or more, in blocks; near the threshold in plain double precision."""
     unit, found = _unit(x), []
@@ -147,9 +169,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     able = F.coalesce((F.size("v") > 0) & F.forall("v", good) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("v", F.when(able, F.col("v")))
-    groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("many"))
-    groups = stage(groups, "forest-classes")
+    digest = F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(7), "v").alias("y")))  # 128 bits name a vector where only its result is looked up
     with scratch() as keep:
+        groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("many"))
+        groups = stage(groups, "forest-classes")
         links = counts = None
         for dim, n in ((r["d"], r["n"]) for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
             own, more = _links(groups.where(F.size("v") == dim), dim, n, threshold, trees, leaf, seed)
@@ -166,9 +189,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, trees: int = TRE
             links = links.unionByName(counts.where("b IS NOT NULL").select("a", "b"))
         component = connected_components(links).select(F.col("node").alias("c"), "component")
         linked = linked.groupBy("c").agg(F.sum("others").alias("others"))
-        info = groups.join(component, "c", "left").join(linked, "c", "left")
-        info = keep(info.select("v", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links"), "many"), "forest-info")
-    out = join_spread(rows, info, "v", "many").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        info = groups.select("c", "many", digest.alias("key")).join(component, "c", "left").join(linked, "c", "left")
+        info = keep(info.select("key", F.coalesce("component", "c").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("links"), "many"), "forest-info")
+    out = join_spread(rows.select("vec_id", digest.alias("key")), info, "key", "many").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -235,32 +258,47 @@ def _links(groups: DataFrame, dim: int, n: int, threshold: float, trees: int, le
             sample = sample[(sample @ pivots[lo : lo + 100].T).max(1, initial=-2) < threshold]
     forest = spark.sparkContext.broadcast([grow(sample, depth, np.random.default_rng([seed, t])) for t in range(trees)])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.stack([np.asarray(v, float) for v in b["v"]]) if len(b) else np.zeros((0, dim))
-            unit_x, ids, many, data = _unit(x), b["c"].to_numpy(), b["many"].to_numpy(), np.array([v.tobytes() for v in x] or [b""], dtype=object)
-            for t, splits in enumerate(forest.value):
-                row, node = descend(unit_x, splits, depth)
-                yield pd.DataFrame({"tree": t, "node": node + 1, "c": ids[row], "many": many[row], "v": data[row]})
+    def dealt(own: range, part: int, level: int) -> DataFrame:
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = np.stack([np.asarray(v, float) for v in b["v"]]) if len(b) else np.zeros((0, dim))
+                unit_x, ids, many, data = _unit(x), b["c"].to_numpy(), b["many"].to_numpy(), np.array(_packed(x) or [b""], dtype=object)
+                for t in own:
+                    row, node = descend(unit_x, forest.value[t], depth, part, level)
+                    yield pd.DataFrame({"tree": t, "node": node + 1, "c": ids[row], "many": many[row], "v": data[row]})
 
-    dealt = groups.select("c", "v", "many").mapInPandas(deal, _DEALT)
-    found = []
-    if _levels(n, leaf) > depth:
-        dealt, apart = _deepen(stage(dealt, "forest-dealt"), dim, leaf, seed)
-        found += [_block_links(d, dim, threshold) for d in apart]
+        return groups.select("c", "v", "many").mapInPandas(deal, _DEALT)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim)
-        return _told(leaf_pairs(x, threshold), pdf)
-
-    for part in (dealt if isinstance(dealt, list) else [dealt]):
-        found.append(part.groupBy("tree", "node").applyInPandas(compare, _LINKS))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+        return _told(leaf_pairs(_matrix(pdf["v"], dim), threshold), pdf)
+
+    links = None
+    for wave in _waves(n, dim, _levels(n, leaf), depth, trees):
+        with scratch() as keep:
+            parts, found = [dealt(*wave)], []
+            if _levels(n, leaf) > depth:
+                parts, apart = _deepen(stage(parts[0], "forest-dealt"), dim, leaf, seed)
+                found += [_block_links(d, dim, threshold) for d in apart]
+            found += [part.groupBy("tree", "node").applyInPandas(compare, _LINKS) for part in parts]
+            own = found[0]
+            for more in found[1:]:
+                own = own.unionByName(more)
+            own = keep(own.distinct(), "forest-wave")
+        links = own if links is None else links.unionByName(own)
     return links, counts
 
 
+def _waves(n: int, dim: int, levels: int, depth: int, trees: int) -> list[tuple[range, int, int]]:
+    """(trees, node, its level) of which the rows below are on disk together: several trees, one, or a part of one."""
+    most = max(WAVE_BYTES, 4 * dim * n)
+    tree = max(1.0, n * (4 * dim + 40) * (1 + 2 * SPILL) ** levels)
+    if tree <= most:
+        step = int(most // tree)
+        return [(range(t, min(t + step, trees)), 0, 0) for t in range(0, trees, step)]
+    level = min(depth, math.ceil(math.log2(tree / most)))
+    return [(range(t, t + 1), part, level) for t in range(trees) for part in range(1 << level)]
+
+
 _DEALT = "tree int, node long, c long, many long, v binary"
 _LINKS = "a long, b long, many_a long, many_b long"
 
@@ -293,7 +331,7 @@ def _deepen(dealt: DataFrame, dim: int, leaf: int, seed: int) -> tuple[list[Data
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             tree, node, levels = (int(pdf[c].iloc[0]) for c in ("tree", "node", "levels"))
-            x = _unit(np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim))
+            x = _unit(_matrix(pdf["v"], dim))
             at = [(low, high) for _, low, high in grow(x, levels, np.random.default_rng([seed, tree, node]))]
             return pd.DataFrame({"tree": [tree], "node": [node], "levels": [levels], "at": [np.array(at).tobytes()]})
 
@@ -310,7 +348,7 @@ def _deepen(dealt: DataFrame, dim: int, leaf: int, seed: int) -> tuple[list[Data
             for low, high in np.frombuffer(own["at"].iloc[0], float).reshape(-1, 2):
                 direction = rng.normal(size=dim)
                 splits.append((direction / np.linalg.norm(direction), low, high))
-            row, below = descend(_unit(np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim)), splits, levels)
+            row, below = descend(_unit(_matrix(pdf["v"], dim)), splits, levels)
             out = pdf[["c", "many", "v"]].iloc[row]
             return out.assign(tree=tree, node=(node << levels) + below - ((1 << levels) - 1))[["tree", "node", "c", "many", "v"]]
 
@@ -329,7 +367,7 @@ def _block_links(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
     right = rows.select("tree", "node", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "c", "many", "v", F.lit(False).alias("left"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, side = np.frombuffer(b"".join(pdf["v"]), float).reshape(len(pdf), dim), pdf["left"].to_numpy(bool)
+        x, side = _matrix(pdf["v"], dim), pdf["left"].to_numpy(bool)
         ids = pdf["c"].to_numpy()
         unit, l, r = _unit(x), np.nonzero(side)[0], np.nonzero(~side)[0]
         found = [np.zeros((0, 2), np.int64)]

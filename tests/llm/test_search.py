@@ -359,6 +359,30 @@ def test_nodes_are_fitted_again(spark, monkeypatch):
     assert sum(got.values()) >= 0.95 * want.sum()
 
 
+def test_trees_in_waves_lose_no_link(spark, monkeypatch):
+    """Parts of trees, one after the other, find what all trees find at once, and none sends many copies of the table."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 12)).astype(np.float32).astype(float)
+    x[350:] = (x[:350] + 0.2 * rng.normal(size=(350, 12))).astype(np.float32)
+    x[1] += 1e-12  # needs double precision
+    assert (rp_forest._matrix(rp_forest.pd.Series(rp_forest._packed(x)), 12) == x).all()
+    tell = lambda: {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rp_forest.near_duplicates(as_vectors(spark, x), leaf=90, trees=2).collect()}
+    at_once = tell()
+    written, stage = Counter(), common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: written.update([name]) or stage(df, name))
+    monkeypatch.setattr(rp_forest, "WAVE_BYTES", 1 << 10)
+    assert tell() == at_once and sum(n for n, _ in at_once.values()) > 300
+    assert written["forest-wave"] >= 4
+
+
+def test_waves_hold_every_node_once():
+    for n in (10, 50_000, 600_000, 15_000_000):
+        waves = rp_forest._waves(n, 64, rp_forest._levels(n, 128), 10, 8)
+        assert sorted((t, part / 2**level) for own, part, level in waves for t in own) == sorted((t, part / 2 ** waves[0][2]) for t in range(8) for part in range(2 ** waves[0][2]))
+        sent = n * 296 * 1.14 ** rp_forest._levels(n, 128) * len(waves[0][0]) / 2 ** waves[0][2]
+        assert sent <= max(1 << 28, 256 * n)
+
+
 def test_nodes_that_no_split_makes_smaller(spark, monkeypatch):
     """Parallel vectors fall on one place in every direction; what stays large is compared in blocks."""
     monkeypatch.setattr(rp_forest, "MAX_SAMPLE", 64)
