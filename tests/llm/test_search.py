@@ -162,6 +162,44 @@ def test_slices_lose_no_link(spark, monkeypatch):
     assert written["jaccard-again"] > 2
 
 
+def test_near_copies_go_over_the_disk_in_parts(spark, monkeypatch):
+    """Neither all pairs of near copies nor all their sets are on disk at once, and no link is lost."""
+    for name, value in (("SLICE_ROWS", 400), ("SLICE_BYTES", 8_000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    sizes, stage = {}, jaccard_join.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    docs = near_copies(5, [20, 40, 60, 80, 90, 100, 110, 120], 15, 0.1)
+    assert jaccard(as_docs(spark, docs)) == brute_components(docs)
+    assert len(sizes["jaccard-sets"]) > 3 and max(sizes["jaccard-sets"]) < sum(sizes["jaccard-sets"]) * 0.7
+    assert sum(sizes["jaccard-sets"]) == sizes["jaccard-dealt"][0] > 50
+    assert len(sizes["jaccard-pairs-met"]) > 2
+
+
+def test_pairs_connect_what_shares_enough(spark, monkeypatch):
+    """First neighbours, then pairs across what they don't connect: the components are those of all pairs."""
+    rng = random.Random(4)
+    least = {k: rng.choice([1, 2, 3, 5]) for k in range(60)}
+    groups = [sorted(rng.sample(range(60), rng.randrange(2, 5))) for _ in range(60)] + [[20, 30, 40], [20, 25, 40], [20, 35, 40, 50]] * 2
+    groups += [sorted([*rng.sample(range(60, 70), 8), rng.randrange(60)]) for _ in range(12)]
+    least |= dict.fromkeys(range(60, 70), 5)
+    rows = [(i, [(k, least[k], k) for k in own]) for i, own in enumerate(groups)]
+    shared = Counter((a, b) for own in groups for i, a in enumerate(own) for b in own[i + 1 :])
+    want = least_reachable(range(70), [p for p, n in shared.items() if n >= min(least[p[0]], least[p[1]], 3)])
+    assert 5 < len(set(want.values())) < 65
+    frame = spark.createDataFrame(rows, "sig long, own array<struct<k: long, least: tinyint, m: long>>")
+    for most in (1 << 25, 40):
+        monkeypatch.setattr(jaccard_join, "SLICE_ROWS", most)
+        got = [(r["a"], r["b"]) for r in jaccard_join._pairs(frame).collect()]
+        assert all(shared[tuple(sorted(p))] >= min(least[p[0]], least[p[1]], 3) for p in got)
+        assert least_reachable(range(70), got) == want
+
+
 def test_documents_of_one_template_do_not_meet(spark):
     """Jaccard 0.6 through a shared form: common shingles come last, so that no class has them among its first."""
     rng = random.Random(12)
